@@ -7,34 +7,36 @@ from pyspark.sql import functions as F
 
 from pseudosignal.operators.delivery import MAX_DEPTH, SPOOL_FULL
 from pseudosignal.operators.keys import MAX_BROADCAST_INSTITUTIONS
+from pseudosignal.sources.sinks import checkpointed
 
-_DAY = 86_400_000_000
-_SECOND = 1_000_000
-_BLOCK = 1 << 21
+_DAY_SECONDS = 86_400
+_SECOND_MICROS = 1_000_000
+_BLOCK_BITS = 21
 
 
 def _order_digits() -> dict:
     """The order (enqueued_at, seq) as six digits, the coarse ones first."""
-    micros, seq = F.unix_micros(F.col("enqueued_at")), F.col("seq").cast("long")
-    block = F.lit(_BLOCK)
-    in_day = F.pmod(micros, F.lit(_DAY))
+    seconds, seq = F.unix_seconds(F.col("enqueued_at")), F.col("seq").cast("long")
     return {
-        "d0": F.expr("0") + ((micros - in_day) / F.lit(_DAY)).cast("long"),
-        "d1": F.floor(in_day / F.lit(float(_SECOND))),
-        "d2": F.pmod(micros, F.lit(_SECOND)),
-        "d3": F.shiftright(seq, 42),
-        "d4": F.pmod(F.shiftright(seq, 21), block),
-        "d5": F.pmod(seq, block),
+        "day": F.floor(seconds / F.lit(float(_DAY_SECONDS))),
+        "second": F.pmod(seconds, F.lit(_DAY_SECONDS)),
+        "micro": F.pmod(F.unix_micros(F.col("enqueued_at")), F.lit(_SECOND_MICROS)),
+        "seq_high": F.shiftright(seq, 2 * _BLOCK_BITS),
+        "seq_mid": F.pmod(F.shiftright(seq, _BLOCK_BITS), F.lit(1 << _BLOCK_BITS)),
+        "seq_low": F.pmod(seq, F.lit(1 << _BLOCK_BITS)),
     }
 
 
-def _step(counts: DataFrame, cut: DataFrame, digit: str) -> DataFrame:
+_DIGIT_PAIRS = (("day", "second"), ("micro", "seq_high"), ("seq_mid", "seq_low"))
+
+
+def _fix_digit(counts: DataFrame, cut: DataFrame, digit: str) -> DataFrame:
     """Fix one more digit of the cut.
 
     ``counts`` has the number of arrivals per institution and digit value, ``cut``
-    the free places left. The running total over the digit values (at most 2^21 of
-    them per institution, however many rows they stand for) shows in which value
-    the last admitted arrival lies.
+    the places left. The running total over the digit values (at most 2^21 of them
+    per institution, however many rows they stand for) shows at which value the
+    last admitted arrival lies.
     """
     running = F.sum("n").over(
         Window.partitionBy("institution_id")
@@ -43,9 +45,8 @@ def _step(counts: DataFrame, cut: DataFrame, digit: str) -> DataFrame:
     )
     placed = counts.withColumn("_upto", running).join(cut, "institution_id")
     before = F.col("_upto") - F.col("n")
-    # The count at the cut is needed to know whether its last value is taken whole.
     return placed.where((before < F.col("free")) & (F.col("free") <= F.col("_upto"))).select(
-        *cut.drop("free").columns, digit, (F.col("free") - before).alias("free")
+        *[c for c in cut.columns if c != "free"], digit, (F.col("free") - before).alias("free")
     )
 
 
@@ -75,29 +76,46 @@ def admission_control(
     ordered = arrivals.select("institution_id", "enqueued_at", "seq").withColumns(_order_digits())
     totals = ordered.groupBy("institution_id").agg(F.count(F.lit(1)).alias("_arrivals"))
     free = F.lit(max_depth) - F.coalesce(F.col("spool_depth"), F.lit(0))
-    places = totals.join(
-        small(backlog_depth.select("institution_id", "spool_depth")), "institution_id", "left"
-    ).select("institution_id", "_arrivals", F.greatest(free, F.lit(0)).alias("free"))
+    places = checkpointed(
+        totals.join(
+            small(backlog_depth.select("institution_id", "spool_depth")), "institution_id", "left"
+        ).select("institution_id", "_arrivals", F.greatest(free, F.lit(0)).alias("free"))
+    )
 
+    # Each pair of digits is one pass over the arrivals at the cut so far. The cut
+    # has a row per overfull institution; a checkpoint keeps the plan of a pass from
+    # repeating those before it.
     cut = places.where((F.col("free") > 0) & (F.col("free") < F.col("_arrivals"))).drop("_arrivals")
     fixed: list[str] = []
-    for coarse, fine in (("d0", "d1"), ("d2", "d3"), ("d4", "d5")):
-        keys = ["institution_id", *fixed]
-        at_cut = ordered.join(small(cut.drop("free")), keys) if fixed else ordered
+    for coarse, fine in _DIGIT_PAIRS:
+        if cut.isEmpty():
+            break
+        at_cut = ordered.join(small(cut.drop("free")), ["institution_id", *fixed])
         counts = at_cut.groupBy("institution_id", coarse, fine).agg(F.count(F.lit(1)).alias("n"))
         by_coarse = counts.groupBy("institution_id", coarse).agg(F.sum("n").alias("n"))
-        cut = _step(by_coarse, cut, coarse)
-        by_fine = counts.join(small(cut.select("institution_id", coarse)), ["institution_id", coarse])
-        cut = _step(by_fine.drop(coarse), cut, fine)
+        cut = _fix_digit(by_coarse, cut, coarse)
+        in_coarse = counts.join(small(cut.select("institution_id", coarse)), ["institution_id", coarse])
+        cut = checkpointed(_fix_digit(in_coarse.drop(coarse), cut, fine))
         fixed += [coarse, fine]
-
-    gates = places.join(cut.drop("free"), "institution_id", "left").withColumns(
-        {
-            "_all": F.col("free") >= F.col("_arrivals"),
-            "_cut_micros": F.col("d0") * _DAY + F.col("d1") * _SECOND + F.col("d2"),
-            "_cut_seq": F.shiftleft("d3", 42) + F.shiftleft("d4", 21) + F.col("d5"),
-        }
-    ).select("institution_id", "_all", "_cut_micros", "_cut_seq")
+    for coarse, fine in _DIGIT_PAIRS:
+        for digit in (coarse, fine):
+            if digit not in cut.columns:
+                cut = cut.withColumn(digit, F.lit(None).cast("long"))
+
+    cut_micros = (
+        F.col("day") * _DAY_SECONDS + F.col("second")
+    ) * _SECOND_MICROS + F.col("micro")
+    cut_seq = (
+        F.shiftleft("seq_high", 2 * _BLOCK_BITS)
+        + F.shiftleft("seq_mid", _BLOCK_BITS)
+        + F.col("seq_low")
+    )
+    gates = places.join(small(cut.drop("free")), "institution_id", "left").select(
+        "institution_id",
+        (F.col("free") >= F.col("_arrivals")).alias("_all"),
+        cut_micros.alias("_cut_micros"),
+        cut_seq.alias("_cut_seq"),
+    )
     micros = F.unix_micros(F.col("enqueued_at"))
     up_to_cut = (micros < F.col("_cut_micros")) | (
         (micros == F.col("_cut_micros")) & (F.col("seq") <= F.col("_cut_seq"))

@@ -168,7 +168,7 @@ def judge(transactions: DataFrame, ring: KeyRing) -> DataFrame:
     and run interpreted.
     """
     verdict = reject_field(rfc3339_seconds(F.col("timestamp")))
-    reason = reject_text(F.col("_verdict"))
+    reason = reject_text("_verdict")
     derived = default_institution(transactions)
     if "decode_error" in derived.columns:
         verdict = F.when(F.col("decode_error").isNotNull(), F.lit(PAYLOAD)).otherwise(verdict)

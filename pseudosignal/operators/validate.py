@@ -19,40 +19,54 @@ LONGITUDE_RANGE = "must be between -180 and 180"
 PAYLOAD = "payload"
 
 
-def _rules(event_seconds: Column) -> list[tuple[Column, str, str]]:
-    amount = F.coalesce(F.col("amount"), F.lit(0.0))
-    latitude, longitude = F.col("latitude"), F.col("longitude")
+# The rules in order: the first one broken counts.
+RULES = (
+    ("id", NOT_EMPTY),
+    ("name", NOT_EMPTY),
+    ("account", NOT_EMPTY),
+    ("amount", POSITIVE),
+    ("timestamp", RFC3339),
+    ("latitude/longitude", TOGETHER),
+    ("latitude", LATITUDE_RANGE),
+    ("longitude", LONGITUDE_RANGE),
+)
+
+
+def _first(cases: list[tuple[Column, str]]) -> Column:
+    chain = None
+    for condition, value in cases:
+        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
+    return chain
+
+
+def reject_field(event_seconds: Column) -> Column:
+    """Name of the first field that breaks a rule, NULL for a valid transaction.
+
+    ``event_seconds`` is the parsed timestamp, NULL when it does not parse.
+    """
     # NaN sorts above every number: it passes the amount rule, and the range
     # rules refuse it.
-    return [
-        (is_blank(F.col("id")), "id", NOT_EMPTY),
-        (is_blank(F.col("name")), "name", NOT_EMPTY),
-        (is_blank(F.col("account")), "account", NOT_EMPTY),
-        ((amount <= 0) | (amount == F.lit(float("inf"))), "amount", POSITIVE),
-        (event_seconds.isNull(), "timestamp", RFC3339),
-        (latitude.isNull() != longitude.isNull(), "latitude/longitude", TOGETHER),
-        (~latitude.between(-90.0, 90.0), "latitude", LATITUDE_RANGE),
-        (~longitude.between(-180.0, 180.0), "longitude", LONGITUDE_RANGE),
+    broken = [
+        is_blank(F.col("id")),
+        is_blank(F.col("name")),
+        is_blank(F.col("account")),
+        F.expr("coalesce(amount, 0D) <= 0 or amount = double('Infinity')"),
+        event_seconds.isNull(),
+        F.expr("(latitude is null) <> (longitude is null)"),
+        F.expr("latitude not between -90D and 90D"),
+        F.expr("longitude not between -180D and 180D"),
     ]
+    return _first([(condition, name) for condition, (name, _) in zip(broken, RULES, strict=True)])
 
 
-def reject_field(event_seconds: Column | None = None) -> Column:
-    """Name of the first field that breaks a rule, NULL for a valid transaction."""
-    if event_seconds is None:
-        event_seconds = rfc3339_seconds(F.col("timestamp"))
-    verdict = None
-    for broken, name, _ in _rules(event_seconds):
-        verdict = F.when(broken, name) if verdict is None else verdict.when(broken, name)
-    return verdict
-
-
-def reject_text(field: Column) -> Column:
-    """Reject reason that belongs to a reject field."""
-    text = None
-    for _, name, message in _rules(F.lit(None)):
-        reason = F.lit(f"validation error: {name} - {message}")
-        text = F.when(field == name, reason) if text is None else text.when(field == name, reason)
-    return text
+def reject_text(field: str) -> Column:
+    """Reject reason that belongs to the reject field in the named column."""
+    return _first(
+        [
+            (F.col(field) == name, f"validation error: {name} - {message}")
+            for name, message in RULES
+        ]
+    )
 
 
 def validate_transactions(transactions: DataFrame) -> DataFrame:
@@ -60,17 +74,17 @@ def validate_transactions(transactions: DataFrame) -> DataFrame:
 
     A ``decode_error`` column, as the JSON decoder leaves it, comes before all rules.
     """
-    field = reject_field()
+    field = reject_field(rfc3339_seconds(F.col("timestamp")))
     if "decode_error" not in transactions.columns:
         return transactions.withColumn("reject_field", field).withColumn(
-            "reject_reason", reject_text(F.col("reject_field"))
+            "reject_reason", reject_text("reject_field")
         )
     failed = F.col("decode_error").isNotNull()
     return transactions.withColumn(
         "reject_field", F.when(failed, F.lit(PAYLOAD)).otherwise(field)
     ).withColumn(
         "reject_reason",
-        F.when(failed, F.col("decode_error")).otherwise(reject_text(F.col("reject_field"))),
+        F.when(failed, F.col("decode_error")).otherwise(reject_text("reject_field")),
     )
 
 

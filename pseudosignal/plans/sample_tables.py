@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pseudosignal.functions.instants import bucket_instant
 from pseudosignal.operators.keys import InstitutionKeys, KeyRing, key_ring
 from pseudosignal.schema import RAW_FIELDS
 
@@ -38,130 +37,141 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_transactions(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """One transaction per order. Some break a rule on purpose."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    bad = k % 50
-    cp = (k * 31 + 7) % 150
+# Columns of a sample transaction. k is the order key, c the customer key, bad = k % 50 picks
+# the rule to break, cp is the counterparty and own / other are national identifiers.
+_BASE = {
+    "k": "o_orderkey",
+    "c": "o_custkey",
+    "bad": "o_orderkey % 50",
+    "cp": "(o_orderkey * 31 + 7) % 150",
+    "own": "lpad(cast(22000000000L + o_custkey as string), 11, '0')",
+    "local_time": (
+        "date_format(timestampadd(MINUTE, cast(o_orderkey % 1440 as int), o_orderdate),"
+        " \"yyyy-MM-dd'T'HH:mm:ss\")"
+    ),
+    "c_name": "c_name",
+    "c_nationkey": "c_nationkey",
+    "o_totalprice": "o_totalprice",
+}
+_TRANSACTION = {
+    "tx_id": "k",
+    "institution_id": "concat('BNK_', k % 5)",
+    "id": "if(bad = 1, '   ', concat('CUST-', c))",
+    "name": (
+        "case when bad = 2 then '' when k % 2 = 0 then concat('  ', lower(c_name), ' ')"
+        " else c_name end"
+    ),
+    "national_id": (
+        "case when c % 3 = 0 then null when k % 5 = 0 then"
+        " concat(substr(own, 1, 4), '-', substr(own, 5, 4), ' ', substr(own, 9, 3)) else own end"
+    ),
+    "account": "if(bad = 3, '', concat('ACC-', c))",
+    "amount": (
+        "case when bad = 4 then 0D when bad = 6 then -o_totalprice else o_totalprice / 32D end"
+    ),
+    "latitude": (
+        "case when k % 4 = 0 then null when bad = 7 then 95D"
+        " else double((k * 37) % 11521) / 64D - 90D end"
+    ),
+    "longitude": (
+        "case when k % 4 = 0 or bad = 9 then null when bad = 11 then -190D"
+        " else double((k * 91) % 23041) / 64D - 180D end"
+    ),
+    "timestamp": (
+        "concat(local_time, case when bad = 13 then '' when k % 3 = 0 then 'Z'"
+        " when k % 3 = 1 then '+01:00' else '.250-05:00' end)"
+    ),
+    "device_id": "if(k % 5 = 0, null, concat('DEV-', c % 100))",
+    "device_id_hash": "if(k % 11 = 0, 'prehashed_device', null)",
+    "ip": "concat('10.0.', c % 256, '.', k % 256)",
+    "ip_hash": "if(k % 13 = 0, 'prehashed_ip', null)",
+    "branch_id": "concat('BR-', c_nationkey)",
+    "signal_type": "if(k % 7 = 0, '', 'transaction')",
+    "endpoint_type": "case k % 3 when 0 then 'ATM' when 1 then 'POS' else 'MOBILE_APP' end",
+    "counterparty_id": "if(k % 2 = 0, concat('CUST-', cp), null)",
+    "counterparty_national_id": (
+        "if(k % 4 = 0 and cp % 3 <> 0, lpad(cast(22000000000L + cp as string), 11, '0'), null)"
+    ),
+}
+
+
+def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{rule} as `{name}`" for name, rule in columns.items()])
 
-    def national(number: Column) -> Column:
-        return F.lpad((F.lit(22_000_000_000) + number).cast("string"), 11, "0")
 
-    own = national(c)
-    dashed = F.concat(
-        F.substring(own, 1, 4), F.lit("-"), F.substring(own, 5, 4), F.lit(" "), F.substring(own, 9, 3)
-    )
-    lowered = F.concat(F.lit("  "), F.lower("c_name"), F.lit(" "))
-    minutes = (k % 1440).cast("int")
-    local_time = F.date_format(
-        F.timestamp_add("MINUTE", minutes, F.col("o_orderdate")), "yyyy-MM-dd'T'HH:mm:ss"
-    )
-    suffix = (
-        F.when(bad == 13, "").when(k % 3 == 0, "Z").when(k % 3 == 1, "+01:00").otherwise(".250-05:00")
-    )
-    no_place = k % 4 == 0
-    columns = {
-        "tx_id": k,
-        "institution_id": F.concat(F.lit("BNK_"), (k % SAMPLE_INSTITUTIONS).cast("string")),
-        "id": F.when(bad == 1, "   ").otherwise(F.concat(F.lit("CUST-"), c.cast("string"))),
-        "name": F.when(bad == 2, "").when(k % 2 == 0, lowered).otherwise(F.col("c_name")),
-        "national_id": F.when(c % 3 == 0, F.lit(None)).when(k % 5 == 0, dashed).otherwise(own),
-        "account": F.when(bad == 3, "").otherwise(F.concat(F.lit("ACC-"), c.cast("string"))),
-        "amount": F.when(bad == 4, F.lit(0.0))
-        .when(bad == 6, -F.col("o_totalprice"))
-        .otherwise(F.col("o_totalprice") / F.lit(32.0)),
-        "latitude": F.when(no_place, F.lit(None))
-        .when(bad == 7, F.lit(95.0))
-        .otherwise(((k * 37) % 11521).cast("double") / F.lit(64.0) - F.lit(90.0)),
-        "longitude": F.when(no_place | (bad == 9), F.lit(None))
-        .when(bad == 11, F.lit(-190.0))
-        .otherwise(((k * 91) % 23041).cast("double") / F.lit(64.0) - F.lit(180.0)),
-        "timestamp": F.concat(local_time, suffix),
-        "device_id": F.when(k % 5 != 0, F.concat(F.lit("DEV-"), (c % 100).cast("string"))),
-        "device_id_hash": F.when(k % 11 == 0, F.lit("prehashed_device")),
-        "ip": F.concat(
-            F.lit("10.0."), (c % 256).cast("string"), F.lit("."), (k % 256).cast("string")
-        ),
-        "ip_hash": F.when(k % 13 == 0, F.lit("prehashed_ip")),
-        "branch_id": F.concat(F.lit("BR-"), F.col("c_nationkey").cast("string")),
-        "signal_type": F.when(k % 7 == 0, "").otherwise("transaction"),
-        "endpoint_type": F.when(k % 3 == 0, "ATM").when(k % 3 == 1, "POS").otherwise("MOBILE_APP"),
-        "counterparty_id": F.when(k % 2 == 0, F.concat(F.lit("CUST-"), cp.cast("string"))),
-        "counterparty_national_id": F.when((k % 4 == 0) & (cp % 3 != 0), national(cp)),
-    }
+def raw_transactions(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """One transaction per order. Some break a rule on purpose."""
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(*[column.alias(name) for name, column in columns.items()])
+    return _select(_select(joined, _BASE), _TRANSACTION)
 
 
 def raw_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_transactions(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
 
 
-def transaction_lines(transactions: DataFrame) -> DataFrame:
-    """The transactions as JSON lines, some of them malformed or written unusually."""
-    k = F.col("tx_id")
-    form = k % 40
-    plain = F.to_json(F.struct(*RAW_FIELDS))
-    body = F.substring(plain, 2, MAX_LINE)  # without the opening brace
+# How some lines are written, by form = tx_id % 40; all others are plain.
+_FORMS = {
+    21: "'hello'",
+    22: """replace(plain, '"amount":', '"amount":"lots","was":')""",
+    23: """replace(plain, '"id":', '"ID":')""",
+    24: "concat(plain, ' trailing text')",
+    25: """concat('{"id":"replaced","unknown":{"deep":[1,2]},', substr(plain, 2))""",
+    26: """replace(plain, '"', "'")""",
+    27: """concat('{"ID":5,', substr(plain, 2))""",
+    28: "concat('[', plain, ']')",
+    29: "'null'",
+    30: "''",
+    31: r"""replace(plain, '"account":', concat('"', chr(92), 'u0041ccount":'))""",
+    32: """concat(substr(plain, 1, length(plain) - 1), ',"name":null,"latitude":null}')""",
+    33: """concat('{"device_id":true,', substr(plain, 2))""",
+    34: "substr(plain, 1, 40)",
+}
 
-    def with_first(entry: str) -> Column:
-        return F.concat(F.lit("{" + entry + ","), body)
 
+def transaction_lines(transactions: DataFrame) -> DataFrame:
+    """The transactions as JSON lines, some of them malformed or written unusually."""
+    cases = " ".join(f"when {form} then {rule}" for form, rule in _FORMS.items())
     line = (
-        F.when(k % 5000 == 17, F.concat(F.repeat(F.lit(" "), MAX_LINE), plain))
-        .when(k % 5000 == 18, F.concat(plain, F.repeat(F.lit(" "), MAX_LINE)))
-        .when(form == 21, F.lit("hello"))
-        .when(form == 22, F.regexp_replace(plain, '"amount":', '"amount":"lots","was":'))
-        .when(form == 23, F.regexp_replace(plain, '"id":"', '"ID":"'))
-        .when(form == 24, F.concat(plain, F.lit(" trailing text")))
-        .when(form == 25, with_first('"id":"replaced","unknown":{"deep":[1,2]}'))
-        .when(form == 26, F.replace(plain, F.lit('"'), F.lit("'")))
-        .when(form == 27, with_first('"ID":5'))
-        .when(form == 28, F.concat(F.lit("["), plain, F.lit("]")))
-        .when(form == 29, F.lit("null"))
-        .when(form == 30, F.lit(""))
-        .when(form == 31, F.regexp_replace(plain, '"account":', '"\\\\\\\\u0041ccount":'))
-        .when(form == 32, F.regexp_replace(plain, "}$", ',"name":null,"latitude":null}'))
-        .when(form == 33, with_first('"device_id":true'))
-        .when(form == 34, F.substring(plain, 1, 40))
-        .otherwise(plain)
+        f"case when tx_id % 5000 = 17 then concat(repeat(' ', {MAX_LINE}), plain)"
+        f" when tx_id % 5000 = 18 then concat(plain, repeat(' ', {MAX_LINE}))"
+        f" else case tx_id % 40 {cases} else plain end end"
     )
-    return transactions.select("tx_id", "institution_id", line.alias("value"))
+    written = transactions.select(
+        "tx_id", "institution_id", F.to_json(F.struct(*RAW_FIELDS)).alias("plain")
+    )
+    return written.selectExpr("tx_id", "institution_id", f"{line} as value")
 
 
 def outbox(signals: DataFrame, payload: Column) -> DataFrame:
-    """Queue table of signals: submission order is (enqueued_at, seq) per institution."""
+    """Queue table of signals: submission order is (enqueued_at, seq) per institution.
+
+    Many signals share an instant, so the sequence number matters too.
+    """
     return signals.select(
         F.col("tx_id").alias("signal_id"),
         "institution_id",
         F.col("tx_id").alias("seq"),
-        bucket_instant(F.col("timestamp")).alias("enqueued_at"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("tx_id") * 7919) % 3000).alias(
+            "enqueued_at"
+        ),
         payload.alias("payload"),
     )
 
 
 def attempts(transactions: DataFrame) -> DataFrame:
     """Delivery attempts by ``tx_id % 6``; every sixth transaction has none."""
-    k = F.col("tx_id")
-    case = k % 6
-    none = F.lit(None).cast("int")
     codes = (
-        F.when(case == 0, F.array(F.lit(201)))
-        .when(case == 1, F.array(F.lit(500), F.lit(200)))
-        .when(case == 2, F.array(F.lit(401)))
-        .when(case == 3, F.array(F.lit(503), F.lit(429), F.lit(503)))
-        .when(case == 4, F.array(none, F.lit(200)))
-        .otherwise(F.array().cast("array<int>"))
+        "case tx_id % 6 when 0 then array(201) when 1 then array(500, 200) when 2 then array(401)"
+        " when 3 then array(503, 429, 503) when 4 then array(null, 200)"
+        " else cast(array() as array<int>) end"
     )
-    listed = transactions.select(k.alias("signal_id"), "institution_id", F.posexplode(codes))
-    number = F.col("pos") + 1
-    return listed.select(
-        "signal_id",
+    return transactions.selectExpr(
+        "tx_id", "institution_id", f"posexplode({codes}) as (pos, status_code)"
+    ).selectExpr(
+        "tx_id as signal_id",
         "institution_id",
-        number.cast("int").alias("attempt_no"),
-        F.timestamp_seconds(
-            F.lit(1_700_000_000) + F.col("signal_id") * 60 + F.col("pos") * 7
-        ).alias("attempted_at"),
-        F.col("col").cast("int").alias("status_code"),
-        (F.lit(10) + F.col("signal_id") % 50).cast("long").alias("elapsed_ms"),
+        "pos + 1 as attempt_no",
+        "timestamp_seconds(1700000000 + tx_id * 60 + pos * 7) as attempted_at",
+        "status_code",
+        "10 + tx_id % 50 as elapsed_ms",
     )

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pseudosignal.schema import NUMBER_FIELDS, RAW_FIELDS
+from pseudosignal.schema import NUMBER_FIELDS, RAW_FIELDS, RAW_SCHEMA
 
 MAX_PAYLOAD_BYTES = 1 << 20
 INVALID_JSON = "invalid JSON"
@@ -17,12 +14,20 @@ OVERSIZE = "oversize"
 
 _STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 _CORRUPT = "_corrupt"
+_NULL_DOCUMENT = r"\A[ \t\r\n]*null"
 
-# Every way the text can mention a known key, whatever its case. Long s and the Kelvin
-# sign are other cases of s and k.
-_ANY_KNOWN_KEY = r'(?iu)"(?:' + "|".join(RAW_FIELDS) + r')"\s*:'
+_TEXT_FIELDS = tuple(name for name in RAW_FIELDS if name not in NUMBER_FIELDS)
+_COORDINATES = ("latitude", "longitude")
+
+# Every mention of a known key, whatever its case (long s and the Kelvin sign are other
+# cases of s and k); those in plain writing with a value of their kind; those with null.
+_MENTIONED = rf'(?iu)"(?:{"|".join(RAW_FIELDS)})"\s*:'
+_WELL_TYPED = (
+    rf'"(?:{"|".join(_TEXT_FIELDS)})"\s*:\s*["n]'
+    rf'|"(?:{"|".join(NUMBER_FIELDS)})"\s*:\s*[-\dn]'
+)
+_SET_TO_NULL = rf'"(?:{"|".join(RAW_FIELDS)})"\s*:\s*n'
 _ESCAPED_LETTER = r"(?i)\\u(?:00[4-7]|017f|212a)"
-_NULL_DOCUMENT = r"\A[ \t\r\n]*null"
 
 
 def read_lines(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
@@ -49,95 +54,97 @@ def decode_transactions(
     * unknown keys, and text after the document, are ignored;
     * a document that does not end within ``max_bytes`` is oversize.
 
-    Nearly all lines take the direct way, one parse into named fields. Only a line
-    with repeated or unusually written keys is parsed into a list of its entries.
+    One parse into named, typed fields serves nearly all lines. It is lenient about
+    quotes, cases and repeated keys, so three pattern counts have to confirm it: as
+    many mentions of known keys as values of the right kind, and as many as fields
+    found. Any other line is parsed into the list of its entries and judged entry
+    by entry.
     """
     others = [c for c in lines.columns if c != value]
-    whole = F.make_valid_utf8(F.col(value))
     too_long = F.octet_length(F.col(value)) > max_bytes
     # The document has to end within the limit; what comes after is not read at all.
-    readable = F.when(
-        too_long,
-        F.make_valid_utf8(F.substring(F.col(value).cast("binary"), 1, max_bytes).cast("string")),
-    ).otherwise(whole)
-
-    fields = [T.StructField(name, T.VariantType()) for name in RAW_FIELDS]
-    layout = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = lines.select(
-        *others, too_long.alias("_too_long"), readable.alias("_text")
-    ).select(
-        *others,
-        "_too_long",
-        "_text",
-        F.from_json("_text", layout, {**_STRICT, "columnNameOfCorruptRecord": _CORRUPT}).alias("_doc"),
+    text = F.when(too_long, F.substring(F.col(value).cast("binary"), 1, max_bytes)).otherwise(
+        F.col(value).cast("binary")
     )
-
-    seen = reduce(lambda a, b: a + b, [F.col(f"_doc.{n}").isNotNull().cast("int") for n in RAW_FIELDS])
-    unusual = (F.regexp_count("_text", F.lit(_ANY_KNOWN_KEY)) != seen) | F.col("_text").rlike(
-        _ESCAPED_LETTER
+    layout = T.StructType([*RAW_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = (
+        lines.select(
+            *others,
+            too_long.alias("_too_long"),
+            F.make_valid_utf8(text.cast("string")).alias("_text"),
+        )
+        .withColumn(
+            "_doc",
+            F.from_json("_text", layout, {**_STRICT, "columnNameOfCorruptRecord": _CORRUPT}),
+        )
+        .withColumns(
+            {
+                "_mentions": F.regexp_count("_text", F.lit(_MENTIONED)),
+                "_well_typed": F.regexp_count("_text", F.lit(_WELL_TYPED)),
+                "_found": F.expr(
+                    " + ".join(f"int(_doc.{name} is not null)" for name in RAW_FIELDS)
+                ),
+            }
+        )
+    )
+    all_found = (F.col("_mentions") == F.col("_found")) | (
+        F.col("_mentions") == F.col("_found") + F.regexp_count("_text", F.lit(_SET_TO_NULL))
+    )
+    confirmed = (
+        (F.col("_mentions") == F.col("_well_typed"))
+        & all_found
+        & ~F.col("_text").rlike(_ESCAPED_LETTER)
     )
     entries = F.map_entries(F.from_json("_text", "map<string,variant>", _STRICT))
     listed = parsed.withColumn(
-        "_entries", F.when(F.col(f"_doc.{_CORRUPT}").isNull() & unusual, entries)
-    )
-
+        "_entries", F.when(F.expr(f"_doc.{_CORRUPT} is null") & ~confirmed, entries)
+    ).withColumn("_entries", F.expr(_FOLDED_ENTRIES))
     typed = listed.select(
         *others,
         "_too_long",
-        "_text",
         F.coalesce(F.col("_text").rlike(_NULL_DOCUMENT), F.lit(False)).alias("_null_doc"),
-        (F.col("_doc").isNull() | F.col(f"_doc.{_CORRUPT}").isNotNull()).alias("_corrupt_doc"),
-        *[_field(name).alias(name) for name in RAW_FIELDS],
-        reduce(or_, [_wrong_type(name) for name in RAW_FIELDS]).alias("_wrong_type"),
+        F.expr(
+            f"_doc is null or _doc.{_CORRUPT} is not null"
+            f" or coalesce(exists(_entries, e -> {_MISTYPED_ENTRY}), false)"
+        ).alias("_malformed"),
+        *[F.expr(_field(name)).alias(name) for name in RAW_FIELDS],
     )
-    overflow = reduce(
-        or_,
-        [F.coalesce(F.abs(F.col(n)) == F.lit(float("inf")), F.lit(False)) for n in NUMBER_FIELDS],
-    )
-    malformed = ~F.col("_null_doc") & (F.col("_corrupt_doc") | F.col("_wrong_type") | overflow)
+    overflow = " or ".join(f"coalesce(abs({n}) = double('Infinity'), false)" for n in NUMBER_FIELDS)
+    malformed = ~F.col("_null_doc") & (F.col("_malformed") | F.expr(overflow))
     error = F.when(
         malformed, F.when(F.col("_too_long"), F.lit(OVERSIZE)).otherwise(F.lit(INVALID_JSON))
     )
     judged = typed.select(*others, *RAW_FIELDS, error.alias("decode_error"))
+    # A document yields one row. Written as a generator, because filters are not
+    # copied below one: a filter on any decoded column would otherwise parse the
+    # text again for every mention of the column.
+    usable = ", ".join(f"'{n}', if(decode_error is null, {n}, null)" for n in RAW_FIELDS)
     return judged.select(
-        *others,
-        *[F.when(F.col("decode_error").isNull(), F.col(n)).alias(n) for n in RAW_FIELDS],
-        "decode_error",
+        *others, F.expr(f"inline(array(named_struct({usable}, 'decode_error', decode_error)))")
     )
 
 
-def _kind_ok(name: str, variant: Column) -> Column:
-    kind = F.schema_of_variant(variant)
-    if name in NUMBER_FIELDS:
-        return kind.isin("BIGINT", "DOUBLE", "VOID") | F.startswith(kind, F.lit("DECIMAL"))
-    return kind.isin("STRING", "VOID")
+def _sql_list(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{name}'" for name in names)
 
 
-def _is_null(variant: Column) -> Column:
-    return F.is_variant_null(variant)
-
-
-def _occurrences(name: str) -> Column:
-    """Entries of the unusual line whose key is this field in any case."""
-    return F.filter(
-        F.col("_entries"), lambda e: F.translate(F.lower(e["key"]), "ſ", "s") == F.lit(name)
-    )
+_FOLDED_ENTRIES = (
+    "transform(_entries, e -> named_struct("
+    "'key', translate(lower(e.key), 'ſ', 's'), 'value', e.value,"
+    " 'kind', split_part(schema_of_variant(e.value), '(', 1)))"
+)
+_MISTYPED_ENTRY = (
+    f"(e.key in ({_sql_list(_TEXT_FIELDS)}) and e.kind not in ('STRING', 'VOID'))"
+    f" or (e.key in ({_sql_list(NUMBER_FIELDS)})"
+    " and e.kind not in ('BIGINT', 'DECIMAL', 'DOUBLE', 'VOID'))"
+)
 
 
-def _field(name: str) -> Column:
+def _field(name: str) -> str:
+    """The typed field, or the last entry for it where the entries were listed."""
     kind = "double" if name in NUMBER_FIELDS else "string"
-    direct = F.try_variant_get(F.col(f"_doc.{name}"), "$", kind)
-    found = _occurrences(name)
-    if name not in ("latitude", "longitude"):
-        found = F.filter(found, lambda e: ~_is_null(e["value"]))
-    last = F.try_variant_get(F.try_element_at(found, F.lit(-1))["value"], "$", kind)
-    return F.when(F.col("_entries").isNull(), direct).otherwise(last)
-
-
-def _wrong_type(name: str) -> Column:
-    field = F.col(f"_doc.{name}")
-    direct = field.isNotNull() & ~_kind_ok(name, field)
-    listed = F.exists(_occurrences(name), lambda e: ~_kind_ok(name, e["value"]))
-    return F.coalesce(
-        F.when(F.col("_entries").isNull(), direct).otherwise(listed), F.lit(False)
+    counts = "true" if name in _COORDINATES else "e.kind <> 'VOID'"
+    last = f"try_element_at(filter(_entries, e -> e.key = '{name}' and {counts}), -1)"
+    return (
+        f"if(_entries is null, _doc.{name}, try_variant_get({last}.value, '$', '{kind}'))"
     )

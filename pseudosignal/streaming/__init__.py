@@ -1,0 +1,20 @@
+"""Structured Streaming jobs."""
+
+from pseudosignal.streaming.ingest import (
+    read_output,
+    read_rollup,
+    start_ingest,
+    start_line_ingest,
+    start_signal_sink,
+)
+from pseudosignal.streaming.rollup import late_rows, windowed_rollup
+
+__all__ = [
+    "late_rows",
+    "read_output",
+    "read_rollup",
+    "start_ingest",
+    "start_line_ingest",
+    "start_signal_sink",
+    "windowed_rollup",
+]
