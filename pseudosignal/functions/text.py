@@ -63,7 +63,9 @@ def present(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for NULL, '' and text made of Unicode white space only."""
-    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+    given = F.coalesce(text, F.lit(""))
+    # Text that begins with a visible ASCII character needs no pattern search.
+    return ~(F.substring(given, 1, 1).between("!", "~") | given.rlike(r"(?U)\S"))
 
 
 def normalise_id(text: Column) -> Column:

@@ -195,11 +195,8 @@ def judge(transactions: DataFrame, ring: KeyRing) -> DataFrame:
     )
 
 
-def signals_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Signals of the judged transactions that are valid, plus the ``keep`` columns."""
-    # Two conditions instead of one on reject_field: the first moves below the key
-    # join, the second makes it an inner join.
-    valid = judged.where(F.col("_verdict").isNull() & F.col("_has_key"))
+def _signal_columns() -> list[Column]:
+    """The columns of a signal, over a judged transaction."""
     is_global = F.col("_national_id") != ""
     to_global = F.col("_counterparty_national_id") != ""
     destination = F.col("_destination_message").isNotNull()
@@ -213,9 +210,8 @@ def signals_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         near_threshold(F.col("amount"), F.col("reporting_threshold")).alias("is_near_threshold"),
         F.col("_zone").alias("location_zone"),
     )
-    return valid.select(
-        *keep,
-        "institution_id",
+    return [
+        F.col("institution_id"),
         F.coalesce(present(F.col("signal_type")), F.lit(DEFAULT_SIGNAL_TYPE)).alias("signal_type"),
         _keyed(is_global, F.col("_identity_message")).alias("identity_mosaic"),
         _scope(is_global).alias("mosaic_scope"),
@@ -224,6 +220,38 @@ def signals_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         metadata.alias("metadata"),
         _keyed(to_global, F.col("_destination_message")).alias("destination_mosaic"),
         F.when(destination, _scope(to_global)).alias("destination_mosaic_scope"),
+    ]
+
+
+def signals_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Signals of the judged transactions that are valid, plus the ``keep`` columns."""
+    # Two conditions instead of one on reject_field: the first moves below the key
+    # join, the second makes it an inner join.
+    valid = judged.where(F.col("_verdict").isNull() & F.col("_has_key"))
+    return valid.select(*keep, *_signal_columns())
+
+
+def outcomes_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per judged transaction: its verdict, and its signal if it is valid.
+
+    Carries neither personal data nor keys, so it may be cached or stored to serve
+    several outputs; see ``accepted`` and ``refused``.
+    """
+    signal = F.when(F.col("reject_field").isNull(), F.struct(*_signal_columns()))
+    return judged.select(
+        *keep, "institution_id", "reject_field", "reject_reason", signal.alias("signal")
+    )
+
+
+def accepted(outcomes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Signals of the outcomes."""
+    return outcomes.where(F.col("reject_field").isNull()).select(*keep, "signal.*")
+
+
+def refused(outcomes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Quarantine of the outcomes."""
+    return outcomes.where(F.col("reject_field").isNotNull()).select(
+        *keep, "institution_id", "reject_field", "reject_reason"
     )
 
 

@@ -1,0 +1 @@
+"""Named queries over the sample tables, and their DuckDB counterparts."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pseudosignal.operators.keys import KeyRing
-from pseudosignal.operators.metrics import ROLLUP_KEYS, rollup_columns
-from pseudosignal.operators.pseudonymise import judge, rejects_of, signals_of
+from pseudosignal.operators.metrics import ROLLUP_KEYS, signal_rollup
+from pseudosignal.operators.pseudonymise import accepted, judge, outcomes_of, refused
 from pseudosignal.sources.json_lines import decode_transactions
 
 SIGNALS = "signals"
@@ -36,33 +36,33 @@ def start_ingest(
     repeated after a failure replaces what it wrote before: each transaction counts
     once. Nothing is dropped as late, the job keeps no state.
 
-    ``rollup`` also writes each batch's partial signal rollup. The counts of valid
+    ``rollup`` also writes each batch's own signal rollup; these add up. The counts of valid
     and rejected transactions are observed metrics of the query progress.
     """
-    judged = judge(transactions, ring).observe(
+    outcomes = outcomes_of(judge(transactions, ring), keep).observe(
         OBSERVED,
         F.count(F.lit(1)).alias("transactions"),
         F.count(F.col("reject_field")).alias("rejected"),
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # Two or three outputs, one decoding: the outcomes are kept until all are written.
-        outcomes = batch.persist()
+        # Two or three outputs, one decoding: the outcomes stay until all are written.
+        held = batch.persist()
         try:
-            signals = signals_of(outcomes, keep)
+            signals = accepted(held, keep)
             signals.write.mode("overwrite").parquet(_batch_path(out, SIGNALS, batch_id))
-            rejects_of(outcomes, keep).write.mode("overwrite").parquet(
+            refused(held, keep).write.mode("overwrite").parquet(
                 _batch_path(out, QUARANTINE, batch_id)
             )
             if rollup:
-                partial_rollup(signals).write.mode("overwrite").parquet(
+                signal_rollup(signals).write.mode("overwrite").parquet(
                     _batch_path(out, ROLLUP, batch_id)
                 )
         finally:
-            outcomes.unpersist()
+            held.unpersist()
 
     return (
-        judged.writeStream.foreachBatch(write_batch)
+        outcomes.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
@@ -94,18 +94,6 @@ def start_signal_sink(
     )
 
 
-def partial_rollup(signals: DataFrame) -> DataFrame:
-    """Counts of one batch; they add up to the rollup."""
-    return (
-        rollup_columns(signals)
-        .groupBy(*ROLLUP_KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("signals"),
-            F.count_if(F.col("near")).alias("near_threshold_signals"),
-        )
-    )
-
-
 def read_output(spark: SparkSession, out: str, table: str) -> DataFrame:
     """A table that the ingest stream has written so far."""
     return spark.read.parquet(f"{out.rstrip('/')}/{table}").drop("batch_id")
