@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pseudosignal.operators import admission, audit, delivery, matching, metrics  # noqa: E402
-from pseudosignal.operators import pseudonymise as ps  # noqa: E402
+from pseudosignal.operators import signals as ps  # noqa: E402
 from pseudosignal.operators import validate as va  # noqa: E402
 from pseudosignal.plans import sample_tables as sample  # noqa: E402
 from pseudosignal.session import tune  # noqa: E402

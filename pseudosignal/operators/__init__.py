@@ -25,7 +25,7 @@ from pseudosignal.operators.metrics import (
     signal_rollup,
     synchronous_counters,
 )
-from pseudosignal.operators.pseudonymise import (
+from pseudosignal.operators.signals import (
     flat,
     payloads,
     pseudonymise,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pseudosignal.functions.text import present
-from pseudosignal.operators.pseudonymise import wire_json
+from pseudosignal.operators.signals import wire_json
 from pseudosignal.schema import SIGNAL_FIELDS
 
 PERSONAL_FIELDS = (

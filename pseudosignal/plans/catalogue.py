@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pseudosignal.functions import amount_tier, location_zone, time_bucket
 from pseudosignal.functions.instants import utc_text
 from pseudosignal.operators import admission, audit, delivery, matching, metrics
-from pseudosignal.operators import pseudonymise as ps
+from pseudosignal.operators import signals as ps
 from pseudosignal.operators import validate as va
 from pseudosignal.plans import sample_tables as sample
 from pseudosignal.schema import RAW_FIELDS

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pseudosignal.operators.keys import KeyRing
 from pseudosignal.operators.metrics import ROLLUP_KEYS, signal_rollup
-from pseudosignal.operators.pseudonymise import accepted, judge, outcomes_of, refused
+from pseudosignal.operators.signals import accepted, judge, outcomes_of, refused
 from pseudosignal.sources.json_lines import decode_transactions
 
 SIGNALS = "signals"
