@@ -31,13 +31,23 @@ def pii_leak_audit(raw: DataFrame, signals: DataFrame, key: str = "tx_id") -> Da
     ``not_a_hash`` counts those that are not 64 hex digits. All counts come from
     one pass over the join on the unique row key.
     """
-    outputs = [F.col(c) for c in SIGNAL_FIELDS if c not in ("metadata", "mosaic_version")]
+    fields = (*PERSONAL_FIELDS, *SUPPLIED_HASHES)
+    outputs = [F.col(f"_signal.{c}") for c in SIGNAL_FIELDS if c not in ("metadata", "mosaic_version")]
     outputs += [
-        F.col(f"metadata.{f.name}").cast("string") for f in signals.schema["metadata"].dataType
+        F.col(f"_signal.metadata.{f.name}").cast("string")
+        for f in signals.schema["metadata"].dataType
     ]
-    out = signals.select(key, F.array(*outputs).alias("_values"), wire_json().alias("_wire"))
-    fields = (*PERSONAL_FIELDS, *SUPPLIED_HASHES)
-    both = raw.select(key, *fields).join(out, key)
+    # The wire record is written after the join: it is longer than what it is made of.
+    packed = signals.select(key, F.struct(*SIGNAL_FIELDS).alias("_signal"))
+    both = (
+        raw.select(key, *fields)
+        .join(packed, key)
+        .select(
+            *fields,
+            F.array(*outputs).alias("_values"),
+            wire_json([F.col(f"_signal.{c}").alias(c) for c in SIGNAL_FIELDS]).alias("_wire"),
+        )
+    )
 
     counts = []
     for name in PERSONAL_FIELDS:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,13 +272,13 @@ def pseudonymise(
     return signals_of(judged, keep), rejects_of(judged, keep)
 
 
-def wire_json(signal_columns: tuple[str, ...] = SIGNAL_FIELDS) -> Column:
-    """JSON text of a signal: fixed key order, absent fields left out.
+def wire_json(columns: Sequence[Column | str] = SIGNAL_FIELDS) -> Column:
+    """JSON text of the signal columns: fixed key order, absent fields left out.
 
     The characters that are special in HTML are written as escapes. They occur
     only inside JSON strings, so replacing them in the whole text is safe.
     """
-    text = F.to_json(F.struct(*signal_columns), {"ignoreNullFields": "true"})
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
     for char, escape in (
         ("<", "\\u003c"),
         (">", "\\u003e"),

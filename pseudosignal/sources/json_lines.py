@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +19,18 @@ _NULL_DOCUMENT = r"\A[ \t\r\n]*null"
 _TEXT_FIELDS = tuple(name for name in RAW_FIELDS if name not in NUMBER_FIELDS)
 _COORDINATES = ("latitude", "longitude")
 
+# Any key; any key with a text value; a known key in plain writing that is null.
+_KEY = r'"\s*:'
+_TEXT_VALUE = r'"\s*:\s*"'
+_SET_TO_NULL = rf'"(?:{"|".join(RAW_FIELDS)})"\s*:\s*n'
+
 # Every mention of a known key, whatever its case (long s and the Kelvin sign are other
-# cases of s and k); those in plain writing with a value of their kind; those with null.
+# cases of s and k); those in plain writing with a value of their kind.
 _MENTIONED = rf'(?iu)"(?:{"|".join(RAW_FIELDS)})"\s*:'
 _WELL_TYPED = (
     rf'"(?:{"|".join(_TEXT_FIELDS)})"\s*:\s*["n]'
     rf'|"(?:{"|".join(NUMBER_FIELDS)})"\s*:\s*[-\dn]'
 )
-_SET_TO_NULL = rf'"(?:{"|".join(RAW_FIELDS)})"\s*:\s*n'
 _ESCAPED_LETTER = r"(?i)\\u(?:00[4-7]|017f|212a)"
 
 
@@ -55,10 +59,11 @@ def decode_transactions(
     * a document that does not end within ``max_bytes`` is oversize.
 
     One parse into named, typed fields serves nearly all lines. It is lenient about
-    quotes, cases and repeated keys, so three pattern counts have to confirm it: as
-    many mentions of known keys as values of the right kind, and as many as fields
-    found. Any other line is parsed into the list of its entries and judged entry
-    by entry.
+    value types, cases and repeated keys, so pattern counts have to confirm it. A
+    line with as many keys as fields found, and as many text values as text fields
+    found, has nothing but known, distinct and well-typed keys. Lines with other keys
+    are confirmed by counting the mentions of known keys. Any line left is parsed
+    into the list of its entries and judged entry by entry.
     """
     others = [c for c in lines.columns if c != value]
     too_long = F.octet_length(F.col(value)) > max_bytes
@@ -77,26 +82,26 @@ def decode_transactions(
             "_doc",
             F.from_json("_text", layout, {**_STRICT, "columnNameOfCorruptRecord": _CORRUPT}),
         )
-        .withColumns(
-            {
-                "_mentions": F.regexp_count("_text", F.lit(_MENTIONED)),
-                "_well_typed": F.regexp_count("_text", F.lit(_WELL_TYPED)),
-                "_found": F.expr(
-                    " + ".join(f"int(_doc.{name} is not null)" for name in RAW_FIELDS)
-                ),
-            }
-        )
-    )
-    all_found = (F.col("_mentions") == F.col("_found")) | (
-        F.col("_mentions") == F.col("_found") + F.regexp_count("_text", F.lit(_SET_TO_NULL))
+        .withColumns({"_found": F.expr(_found(RAW_FIELDS)), "_texts": F.expr(_found(_TEXT_FIELDS))})
     )
-    confirmed = (
-        (F.col("_mentions") == F.col("_well_typed"))
-        & all_found
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count("_text", F.lit(pattern))
+
+    def all_found(keys: Column) -> Column:
+        return (keys == F.col("_found")) | (keys == F.col("_found") + count(_SET_TO_NULL))
+
+    plain = (count(_TEXT_VALUE) == F.col("_texts")) & all_found(F.col("_keys"))
+    counted = parsed.withColumn("_keys", count(_KEY)).withColumn("_plain", plain)
+    mentions = F.col("_mentions")
+    counted = counted.withColumn("_mentions", F.when(~F.col("_plain"), count(_MENTIONED)))
+    confirmed = F.col("_plain") | (
+        (mentions == count(_WELL_TYPED))
+        & all_found(mentions)
         & ~F.col("_text").rlike(_ESCAPED_LETTER)
     )
     entries = F.map_entries(F.from_json("_text", "map<string,variant>", _STRICT))
-    listed = parsed.withColumn(
+    listed = counted.withColumn(
         "_entries", F.when(F.expr(f"_doc.{_CORRUPT} is null") & ~confirmed, entries)
     ).withColumn("_entries", F.expr(_FOLDED_ENTRIES))
     typed = listed.select(
@@ -124,6 +129,10 @@ def decode_transactions(
     )
 
 
+def _found(names: tuple[str, ...]) -> str:
+    return " + ".join(f"int(_doc.{name} is not null)" for name in names)
+
+
 def _sql_list(names: tuple[str, ...]) -> str:
     return ", ".join(f"'{name}'" for name in names)
 
