@@ -77,7 +77,7 @@ def main() -> None:
             "signal_id", "institution_id", "seq", "enqueued_at"
         )
         depth = metrics.backlog_depth(state.where("attempts > 0"))
-        drain(admission.admission_control(arrivals, depth, 8000, institutions=ring.size))
+        drain(admission.admission_control(arrivals, depth, 8000))
 
     def stream() -> None:
         out = f"{work}/stream-{next(runs)}"

@@ -54,33 +54,30 @@ def admission_control(
     arrivals: DataFrame,
     backlog_depth: DataFrame,
     max_depth: int = MAX_DEPTH,
-    institutions: int | None = None,
 ) -> DataFrame:
     """Add ``admitted`` and ``reject_reason`` (``spool_full``) to the arrivals.
 
     ``backlog_depth(institution_id, spool_depth)`` is the current depth; arrivals
-    are taken oldest first until the queue holds ``max_depth``. ``institutions``
-    is the known number of institutions; if it is small, tables with one row per
-    institution are broadcast.
+    are taken oldest first until the queue holds ``max_depth``.
 
     Ranking the arrivals would bring each institution to one task. Instead the cut,
     the order position of the last admitted arrival, is narrowed down digit by
     digit with counts, which combine before the shuffle, and every arrival is then
     compared with the cut of its institution.
     """
-    is_small = institutions is not None and institutions <= MAX_BROADCAST_INSTITUTIONS
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if is_small else df
-
     ordered = arrivals.select("institution_id", "enqueued_at", "seq").withColumns(_order_digits())
     totals = ordered.groupBy("institution_id").agg(F.count(F.lit(1)).alias("_arrivals"))
     free = F.lit(max_depth) - F.coalesce(F.col("spool_depth"), F.lit(0))
     places = checkpointed(
         totals.join(
-            small(backlog_depth.select("institution_id", "spool_depth")), "institution_id", "left"
+            backlog_depth.select("institution_id", "spool_depth"), "institution_id", "left"
         ).select("institution_id", "_arrivals", F.greatest(free, F.lit(0)).alias("free"))
     )
+    # One row per institution from here on; counted, so the broadcast has a bound.
+    is_small = places.count() <= MAX_BROADCAST_INSTITUTIONS
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if is_small else df
 
     # Each pair of digits is one pass over the arrivals at the cut so far. The cut
     # has a row per overfull institution; a checkpoint keeps the plan of a pass from

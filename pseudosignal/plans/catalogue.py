@@ -196,20 +196,19 @@ def retry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.retry_budget(_attempts(spark, sf_dir))
 
 
-def _admissions(spark: SparkSession, state: DataFrame) -> DataFrame:
+def _admissions(state: DataFrame) -> DataFrame:
     """Signals tried before are the queue, those never tried arrive now."""
     tried = F.col("attempts") > 0
     return admission.admission_control(
         state.where(~tried).select("signal_id", "institution_id", "seq", "enqueued_at"),
         metrics.backlog_depth(state.where(tried)),
         MAX_DEPTH,
-        institutions=sample.sample_ring(spark).size,
     )
 
 
 def admission_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Admission reads its input several times, so it gets a stored table.
-    return _admissions(spark, checkpointed(_state(spark, sf_dir))).select(
+    return _admissions(checkpointed(_state(spark, sf_dir))).select(
         "signal_id", "institution_id", "admitted", "reject_reason"
     )
 
@@ -219,7 +218,7 @@ def admission_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = checkpointed(_state(spark, sf_dir))
-    queued = metrics.queued_counters(state, _admissions(spark, state))
+    queued = metrics.queued_counters(state, _admissions(state))
     budget = delivery.retry_budget(_attempts(spark, sf_dir))
     return queued.unionByName(metrics.synchronous_counters(budget))
 

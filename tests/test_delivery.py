@@ -138,14 +138,14 @@ def test_counters(spark, queue):
 # --- admission ---------------------------------------------------------------------
 
 
-def admit(spark, arrivals, depth, limit, institutions=10):
+def admit(spark, arrivals, depth, limit):
     df = spark.createDataFrame(
         arrivals, "signal_id bigint, institution_id string, enqueued_at timestamp, seq bigint"
     )
     current = spark.createDataFrame(
         list(depth.items()) or [("none", 0)], "institution_id string, spool_depth bigint"
     )
-    out = admission.admission_control(df, current, limit, institutions)
+    out = admission.admission_control(df, current, limit)
     rows = out.collect()
     assert len(rows) == len(arrivals)
     assert all((r["reject_reason"] == "spool_full") == (not r["admitted"]) for r in rows)
@@ -170,8 +170,9 @@ def test_full_queue_refuses(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("institutions", [10, None])
-def test_admission_equals_one_by_one_model(spark, seed, institutions):
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_admission_equals_one_by_one_model(spark, monkeypatch, seed, bound):
+    monkeypatch.setattr(admission, "MAX_BROADCAST_INSTITUTIONS", bound)
     rng = random.Random(seed)
     sequences = rng.sample(range(2**62), 1500) + list(range(1500))
     rng.shuffle(sequences)
@@ -186,7 +187,7 @@ def test_admission_equals_one_by_one_model(spark, seed, institutions):
         arrivals.append((number, institution, at, sequences[number]))
     depth = {"A": rng.randrange(800), "B": 990, "Z": 3}
     limit = rng.randrange(1000, 2000)
-    assert admit(spark, arrivals, depth, limit, institutions) == model(arrivals, depth, limit)
+    assert admit(spark, arrivals, depth, limit) == model(arrivals, depth, limit)
 
 
 def test_no_institution_is_ranked_in_one_task(spark, queue):
@@ -195,7 +196,7 @@ def test_no_institution_is_ranked_in_one_task(spark, queue):
     heads = delivery.queue_heads(state)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in heads
     arrivals = state.select("signal_id", "institution_id", "seq", "enqueued_at")
-    out = admission.admission_control(arrivals, metrics.backlog_depth(state), 1, 4)
+    out = admission.admission_control(arrivals, metrics.backlog_depth(state), 1)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
 
