@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pseudosignal.llm import packing
+from pseudosignal.llm import ngram_join, packing
+from pseudosignal.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op10_power_of_two_packing": packing.op10_power_of_two_packing,
 }
-
-ORACLE: dict[str, str] = {}

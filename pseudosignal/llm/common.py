@@ -97,3 +97,64 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     moved = pairs.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = low.select("u", F.col("m").alias("v"))
     return moved.union(own).where("u != v").distinct()
+
+
+# Bits of a membership map: 2 MiB, whatever the size of the data.
+MAP_BITS = 1 << 24
+
+
+def membership_map(ids: DataFrame, column: str, bits: int = MAP_BITS) -> bytes:
+    """A one-hash Bloom filter of a column of longs. At most ``bits`` / 8 bytes reach the driver.
+
+    It lets through everything that is in the column, and more the fuller it is; whoever
+    uses it joins exactly afterwards. It only saves shuffling rows that cannot match.
+    """
+    import numpy as np
+
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = (
+        ids.select(at.alias("at"))
+        .groupBy(F.shiftright("at", 5).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set"))
+        .toArrow()
+    )
+    filled = np.zeros(bits // 32, dtype=np.uint32)
+    filled[words["word"].to_numpy()] = words["set"].to_numpy().astype(np.uint32)
+    return filled.tobytes()
+
+
+def maybe_in(df: DataFrame, column: str, filled: bytes, keep: bool = True) -> DataFrame:
+    """Rows whose ``column`` may be in the map, or, with keep=False, is surely not in it."""
+    import numpy as np
+    import pyarrow as pa
+
+    bits = 8 * len(filled)
+    probe = "_probe"
+    while probe in df.columns:
+        probe += "_"
+    schema = df.schema
+    shared = df.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches):
+        words = np.frombuffer(shared.value, dtype=np.uint32)
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            found = (words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            rest = batch.select(list(range(batch.num_columns - 1)))
+            yield rest.filter(pa.array(found if keep else ~found))
+
+    # A NULL hashes like any other value; callers decide about it beforehand.
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    return df.select("*", at.alias(probe)).mapInArrow(run, schema)
+
+
+def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not in ``ids`` (one column of that name).
+
+    Rows that are surely not in it go straight through; only the rest is shuffled for the
+    exact anti-join. Rows with NULL stay.
+    """
+    filled = membership_map(ids, column)
+    sure = maybe_in(df, column, filled, keep=False)
+    rest = maybe_in(df, column, filled).join(ids, column, "left_anti").select(*df.columns)
+    return sure.unionByName(rest)
