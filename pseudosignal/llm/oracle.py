@@ -26,11 +26,11 @@ WITH RECURSIVE split AS (
 ), both_ways AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
-  SELECT doc_id, doc_id AS at FROM sets
-  UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.at = both_ways.a
+  SELECT doc_id, doc_id AS node FROM sets
+  UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.node = both_ways.a
 )
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id
-FROM sets JOIN (SELECT doc_id, min(at) AS low FROM reach GROUP BY doc_id) USING (doc_id)
+FROM sets JOIN (SELECT doc_id, min(node) AS low FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
 
