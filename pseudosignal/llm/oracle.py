@@ -34,6 +34,48 @@ FROM sets JOIN (SELECT doc_id, min(node) AS low FROM reach GROUP BY doc_id) USIN
 """
 
 
+def mixing_sql(source: str = "documents") -> str:
+    """Words that the mix takes, by sorting every source whole."""
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key
+  FROM {source}
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w
+  FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS all_words, CAST(sum(w) OVER () AS BIGINT) AS all_w,
+    CAST(coalesce(sum(3 * source_size) OVER before, 0) AS BIGINT) AS capped_words,
+    CAST(coalesce(sum(w) OVER before, 0) AS BIGINT) AS capped_w FROM sources
+  WINDOW before AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (
+  SELECT *, (all_words - capped_words) / (all_w - capped_w) > 3 * source_size / w AS capped FROM ranked
+), targets AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE
+    CAST(all_words - coalesce(sum(3 * source_size) FILTER (capped) OVER (), 0) AS BIGINT)
+    / CAST(all_w - coalesce(sum(w) FILTER (capped) OVER (), 0) AS BIGINT) * w END AS target FROM judged
+), budgets AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM targets
+), keyed AS (
+  SELECT source, key, sum(size) AS words, count(*) AS n FROM sized GROUP BY source, key
+), placed AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY key) - words AS base FROM keyed
+), joined AS (
+  SELECT s.doc_id, s.size, b.source_size, b.target, p.base, p.words, p.n,
+    CASE WHEN b.source_size > 0 THEN b.budget // b.source_size ELSE 0 END AS epochs,
+    CASE WHEN b.source_size > 0 THEN b.budget % b.source_size ELSE 0 END AS rest
+  FROM sized s JOIN placed p ON s.source IS NOT DISTINCT FROM p.source AND s.key = p.key
+  JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size +
+  CASE WHEN base + words <= rest THEN size WHEN base < rest THEN (rest - base) // n ELSE 0 END AS BIGINT) AS taken
+FROM joined
+"""
+
+
 ORACLE = {
     "op2_ngram_jaccard_join": jaccard_sql(),
+    "op4_source_mixing": mixing_sql(),
 }
