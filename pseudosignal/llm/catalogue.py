@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pseudosignal.llm import mixing, ngram_join, packing, secrets
+from pseudosignal.llm import language, mixing, ngram_join, packing, secrets
 from pseudosignal.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -11,5 +11,6 @@ QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op9_language_id": language.op9_language_id,
     "op10_power_of_two_packing": packing.op10_power_of_two_packing,
 }
