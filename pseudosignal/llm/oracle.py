@@ -75,7 +75,28 @@ FROM joined
 """
 
 
+# list_cosine_similarity of DuckDB works in the type of the list, so it is cast first.
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0
+    AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id, vec_id AS node FROM v
+  UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.node = links.a
+)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, low AS component_id, v.vec_id = low AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = v.vec_id
+LEFT JOIN (SELECT vec_id, min(node) AS low FROM reach GROUP BY vec_id) USING (vec_id)
+"""
+
 ORACLE = {
     "op2_ngram_jaccard_join": jaccard_sql(),
+    "op5_embedding_dedup": NEAR_VECTORS,
     "op4_source_mixing": mixing_sql(),
 }
