@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pseudosignal.llm import embedding_dedup, language, mixing, neighbours, ngram_join, packing, secrets, toxicity
+from pseudosignal.llm import embedding_dedup, fixity, language, mixing, neighbours, ngram_join, packing, secrets, toxicity
 from pseudosignal.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
+    "op1_warc_fixity": fixity.op1_warc_fixity,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_source_mixing": mixing.op4_source_mixing,

@@ -95,7 +95,30 @@ FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = v.vec_id
 LEFT JOIN (SELECT vec_id, min(node) AS low FROM reach GROUP BY vec_id) USING (vec_id)
 """
 
+FIXITY = """
+WITH sized AS (
+  SELECT page_id, 'warc-' || CAST(page_id // 1000 AS VARCHAR) AS file,
+    128 + coalesce(strlen(url), 0) + coalesce(strlen(html), 0) AS length,
+    sha256(coalesce(strlen(url) || ':' || url, '-') || '|' || coalesce(strlen(html) || ':' || html, '-')) AS digest
+  FROM pages
+), records AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+    CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4) AS INTEGER) % 100 AS fault FROM sized
+), replica AS (
+  SELECT file, "offset", CASE WHEN fault = 0 THEN sha256(digest) ELSE digest END AS digest
+  FROM records WHERE fault <> 1
+  UNION ALL SELECT file, "offset" + 1, digest FROM records WHERE fault = 2
+)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset",
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+  a.digest AS primary_digest, b.digest AS replica_digest
+FROM records a FULL JOIN replica b ON a.file = b.file AND a."offset" = b."offset"
+WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
 ORACLE = {
+    "op1_warc_fixity": FIXITY,
     "op2_ngram_jaccard_join": jaccard_sql(),
     "op5_embedding_dedup": NEAR_VECTORS,
     "op4_source_mixing": mixing_sql(),
