@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pseudosignal.llm import embedding_dedup, fixity, language, mixing, neighbours, ngram_join, packing, secrets, toxicity
+from pseudosignal.llm import embedding_dedup, fixity, language, mixing, neighbours, ngram_join, packing, secrets, surrogates, toxicity
 from pseudosignal.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_learned_partitions": neighbours.op6_learned_partitions,
+    "op7_pii_surrogates": surrogates.op7_pii_surrogates,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language.op9_language_id,
     "op10_power_of_two_packing": packing.op10_power_of_two_packing,

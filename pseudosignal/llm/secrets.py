@@ -36,11 +36,11 @@ UNIT = 1000
 THRESHOLD = 10 * UNIT
 MASK = "<secret>"
 
-_NO_SPANS = "array<struct<start:bigint,end:bigint>>"
+NO_SPANS = "array<struct<start:bigint,end:bigint>>"
 _NO_MARKS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
-def _placed(text: Column, pattern: str, good) -> Column:
+def placed(text: Column, pattern: str, good) -> Column:
     """Spans (code points, end exclusive) of the leftmost matches of a pattern, of those for which
     good(match number) holds. The text between matches gives their places."""
     between = F.split(text, pattern, -1)
@@ -58,7 +58,7 @@ def _placed(text: Column, pattern: str, good) -> Column:
         )
 
     none = F.struct(
-        F.lit(0).cast("bigint").alias("at"), F.array().cast(_NO_SPANS).alias("out")
+        F.lit(0).cast("bigint").alias("at"), F.array().cast(NO_SPANS).alias("out")
     )
     every = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(
         F.array().cast("array<int>")
@@ -66,24 +66,24 @@ def _placed(text: Column, pattern: str, good) -> Column:
     return F.aggregate(every, none, step, lambda state: state["out"])
 
 
-def _always(_: Column) -> Column:
+def always(_: Column) -> Column:
     return F.lit(True)
 
 
-def _when_there(there: Column, spans: Column) -> Column:
+def when_there(there: Column, spans: Column) -> Column:
     """Most texts have nothing of a kind; a cheap test spares them the rest."""
-    return F.when(there, spans).otherwise(F.array().cast(_NO_SPANS))
+    return F.when(there, spans).otherwise(F.array().cast(NO_SPANS))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     return {
-        "assign": _when_there(
+        "assign": when_there(
             text.rlike(ASSIGN_WORDS),
-            _placed(text, ASSIGN, lambda i: F.length(F.element_at(values, i)) >= MIN_ASSIGNED),
+            placed(text, ASSIGN, lambda i: F.length(F.element_at(values, i)) >= MIN_ASSIGNED),
         ),
-        "access": _when_there(text.contains("AKIA"), _placed(text, ACCESS, _always)),
-        "hex": _when_there(text.rlike(HEX), _placed(text, HEX, _always)),
+        "access": when_there(text.contains("AKIA"), placed(text, ACCESS, always)),
+        "hex": when_there(text.rlike(HEX), placed(text, HEX, always)),
     }
 
 
@@ -183,8 +183,8 @@ def log_ratio(token: Column, weights: dict[int, int]) -> Column:
 def _random_spans(text: Column, weights: dict[int, int], threshold: int) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     high = F.transform(tokens, lambda t: log_ratio(t, weights) >= threshold)
-    placed = _placed(text, TOKEN, lambda i: F.element_at(high, i))
-    return _when_there(F.exists(tokens, lambda t: log_ratio(t, weights) >= threshold), placed)
+    placed = placed(text, TOKEN, lambda i: F.element_at(high, i))
+    return when_there(F.exists(tokens, lambda t: log_ratio(t, weights) >= threshold), placed)
 
 
 def _marks(spans: dict[str, Column]) -> Column:
