@@ -6,17 +6,18 @@ shingles has an inverted list. The T - k longest lists are set aside; any partne
 occur k times in the other, short lists. Those are merged (counted); survivors are probed
 in the long lists, which is a binary search in the partner's sorted shingles.
 
-Long and short are told apart in one global order: by the excess count of a shingle's hash
-bucket, then by hash. The order decides the speed only, never the result.
+Long and short are told apart in one global order: by the count of a shingle's cell in a
+count sketch of fixed size, then by hash. A cell counts at least the documents that have
+the shingle. The order decides the speed only, never the result.
 
 Copies must not expand into all pairs, so the work is done in steps:
 
 1. Documents with equal sets become one class, represented by its smallest doc_id.
 2. Postings of the short lists are written; lists with one class only are dropped.
-3. Each list has pivots; every member is verified against a pivot, not against all.
-   The links found already connect groups of near copies.
-4. Members of a list that are still in different components are merged, counted and
-   verified pair by pair. Pairs within one component need no check: they can't change it.
+3. Each list has a pivot; members that meet a pivot k times are verified against it, not
+   against all. The links found already connect groups of near copies.
+4. Members of a list that are still in different components are merged, counted and, if
+   they meet k times, verified. Pairs within one component can't change it.
 5. Components of all links.
 """
 
@@ -41,10 +42,14 @@ from pseudosignal.llm.common import (
 
 # Occurrences that a partner needs in the short lists.
 MERGED = 2
-# Hash buckets in which shingles are counted; an executor sends only those that stand out.
-BUCKETS = 1 << 20
+# Cells of the count sketch, one byte each: 16 MiB, in chunks.
+CELL_BITS = 24
+CELL_SHIFT = np.uint64(64 - CELL_BITS)
+CHUNK = 1 << 17
+# Lanes in which sketches of tasks are added up first.
+SKETCH_LANES = 32
 # Words whose hashes a worker remembers.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 200_000
 # Pivots for which the lists of a group of copies can vote.
 LANES = 4
 # Partners of one document that are verified by one task.
@@ -92,35 +97,79 @@ def _signed(value: int) -> int:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, h1, h2) of each document; at the end (bucket, excess) of common shingles."""
-    shingles, counts = Shingles(width), np.zeros(BUCKETS, np.int64)
+    """(doc_id, n, h1, h2) of each document; at the end (chunk, counts), the sketch of the task."""
+    shingles, cells = Shingles(width), np.zeros(1 << CELL_BITS, np.uint8)
     for batch in batches:
         n, h1, h2 = [], [], []
-        waiting = []
         for text in batch.column(1):
             found = shingles(text.as_py() or b"")
             mark = xxhash.xxh3_128_intdigest(found.tobytes())
             n.append(len(found))
             h1.append(_signed(mark >> 64))
             h2.append(_signed(mark & (1 << 64) - 1))
-            waiting.append(found >> np.uint64(44))
-        if waiting:
-            at = np.concatenate(waiting).astype(np.int64)
-            counts += np.bincount(at, minlength=BUCKETS)
-            none = pa.nulls(len(n), pa.int64())
-            yield _rows(batch.column(0), n, h1, h2, none, none)
-    mean = counts.mean()
-    common = np.flatnonzero(counts > mean + 6 * mean**0.5 + 8)
-    if len(common):
-        none = pa.nulls(len(common), pa.int64())
-        yield _rows(none, none, none, none, common, (counts[common] - mean).astype(np.int64))
+            at = found >> CELL_SHIFT
+            old = cells[at]
+            cells[at] = old + (old < 255)
+        yield _rows(batch.column(0), n, h1, h2, [None] * len(n), [None] * len(n))
+    for start in range(0, len(cells), 16 * CHUNK):
+        some = cells[start : start + 16 * CHUNK].reshape(-1, CHUNK)
+        used = np.flatnonzero(some.any(axis=1))
+        if len(used):
+            none = [None] * len(used)
+            counts = [some[i].tobytes() for i in used]
+            yield _rows(none, none, none, none, used + start // CHUNK, counts)
 
 
-_PROFILE = ("doc_id", "n", "h1", "h2", "bucket", "excess")
+_PROFILE = ("doc_id", "n", "h1", "h2", "chunk", "counts")
 
 
 def _rows(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_PROFILE)
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=_PROFILE
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch], kind: type, last: bool) -> Iterator[pa.RecordBatch]:
+    """Sketches added up by chunk; the last time as one byte, in steps above 191."""
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        for i, key in enumerate(keys):
+            part = np.frombuffer(batch.column(2)[i].as_py(), kind)
+            total = sums.setdefault(key, np.zeros(CHUNK, np.uint32))
+            np.add(total, part, out=total)
+    for (chunk, lane), total in sums.items():
+        if last:
+            steps = 192 + 6 * np.log2(np.maximum(total, 192) / 192)
+            out = np.where(total < 192, total, np.minimum(steps, 255)).astype(np.uint8)
+        else:
+            out = np.minimum(total, 65535).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chunk]), pa.array([lane]), pa.array([out.tobytes()], pa.binary())],
+            names=["chunk", "lane", "counts"],
+        )
+
+
+def _sketch(profile: DataFrame):
+    """The sketch of all documents, broadcast: 16 MiB, whatever the size of the data."""
+    form = "chunk bigint, lane bigint, counts binary"
+    parts = profile.where("chunk is not null").select(
+        "chunk", F.pmod(F.xxhash64("counts"), F.lit(SKETCH_LANES)).alias("lane"), "counts"
+    )
+    lanes = parts.repartition("chunk", "lane").mapInArrow(
+        lambda batches: _added(batches, np.uint8, False), form
+    )
+    whole = (
+        lanes.select("chunk", F.lit(0).cast("bigint").alias("lane"), "counts")
+        .repartition("chunk")
+        .mapInArrow(lambda batches: _added(batches, np.uint16, True), form)
+        .toArrow()
+    )
+    cells = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint8)
+    for chunk, counts in zip(whole["chunk"].to_pylist(), whole["counts"].to_pylist(), strict=True):
+        cells[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.uint8)
+    return profile.sparkSession.sparkContext.broadcast(cells)
 
 
 def _required(n: int, num: int, den: int) -> int:
@@ -132,20 +181,17 @@ def _can_link(n: int, num: int, den: int) -> bool:
     return n * den >= num * (n + 1)
 
 
-def _short_lists(found: np.ndarray, excess: np.ndarray, num: int, den: int, k: int) -> np.ndarray:
-    """Shingles of all but the T - k longest lists."""
+def _short_lists(found: np.ndarray, cells: np.ndarray, num: int, den: int, k: int) -> np.ndarray:
+    """Shingles of all but the T - k longest lists (and such that tie with the last of them)."""
     take = min(len(found), len(found) - _required(len(found), num, den) + k)
-    length = excess[(found >> np.uint64(44)).astype(np.int64)]
-    rare = found[length == 0][:take]
-    if len(rare) < take:
-        common = length > 0
-        order = np.lexsort((found[common], length[common]))
-        rare = np.concatenate([rare, found[common][order][: take - len(rare)]])
-    return rare
+    order = (cells[found >> CELL_SHIFT].astype(np.uint64) << np.uint64(56)) | (
+        found >> np.uint64(8)
+    )
+    return found[order <= np.partition(order, take - 1)[take - 1]]
 
 
 def _postings(
-    batches: Iterator[pa.RecordBatch], width: int, excess: np.ndarray, num: int, den: int, k: int
+    batches: Iterator[pa.RecordBatch], width: int, cells: np.ndarray, num: int, den: int, k: int
 ) -> Iterator[pa.RecordBatch]:
     """(token, h1, h2, n) for the short lists of each set; a worker writes a set only once."""
     shingles, seen = Shingles(width), set()
@@ -160,7 +206,7 @@ def _postings(
                 continue
             if len(seen) < 1_000_000:
                 seen.add(mark)
-            short = _short_lists(found, excess, num, den, k)
+            short = _short_lists(found, cells, num, den, k)
             tokens.append(short)
             marks.append((_signed(mark >> 64), _signed(mark & (1 << 64) - 1)))
             sizes.append(len(found))
@@ -255,17 +301,17 @@ def jaccard_components(
     profile = stored(
         slim.mapInArrow(
             lambda batches: _profiles(batches, width),
-            "doc_id bigint, n bigint, h1 bigint, h2 bigint, bucket bigint, excess bigint",
+            "doc_id bigint, n bigint, h1 bigint, h2 bigint, chunk bigint, counts binary",
         ),
         "ngram-profile",
     )
-    own = profile.where("bucket is null").drop("bucket", "excess")
-    excess = _excess(profile)
+    own = profile.where("chunk is null").drop("chunk", "counts")
+    cells = _sketch(profile)
 
     named = slim.where("doc_id is not null")
     postings = stored(
         named.select("text").mapInArrow(
-            lambda batches: _postings(batches, width, excess.value, num, den, k),
+            lambda batches: _postings(batches, width, cells.value, num, den, k),
             "token bigint, h1 bigint, h2 bigint, n bigint",
         ),
         "ngram-postings",
@@ -277,16 +323,17 @@ def jaccard_components(
     )
     lists = stored(_shared_lists(postings, classes), "ngram-lists")
 
-    pivots = stored(_pivot_pairs(lists, num, den), "ngram-pivots")
-    ids = pivots.select(F.col("a").alias("id")).union(lists.select("id")).distinct()
-    sets = stored(
-        maybe_in(named, "doc_id", membership_map(ids, "id")).mapInArrow(
+    def sets_of(ids: DataFrame) -> DataFrame:
+        near = maybe_in(named, "doc_id", membership_map(ids, "id")).mapInArrow(
             lambda batches: _sets(batches, width), "id bigint, shingles binary"
-        ),
-        "ngram-sets",
-    )
+        )
+        return stored(near.join(ids, "id", "left_semi"), "ngram-sets")
+
+    pivots = stored(_pivot_pairs(lists, num, den, k), "ngram-pivots")
+    sets = sets_of(_ends(pivots))
     links = stored(_verified(pivots, sets, num, den), "ngram-links")
     rest = stored(_merged_pairs(lists, components(links), pivots, num, den, k), "ngram-pairs")
+    sets = sets.union(sets_of(_ends(rest).join(sets, "id", "left_anti")))
     more = _verified(rest, sets, num, den)
 
     member = own.join(classes, ["h1", "h2"], "left")
@@ -309,19 +356,6 @@ def jaccard_components(
     )
 
 
-def _excess(profile: DataFrame):
-    """Excess counts by hash bucket, a fixed 4 MiB, for all workers."""
-    rows = (
-        profile.where("bucket is not null")
-        .groupBy("bucket")
-        .agg(F.sum("excess").alias("excess"))
-        .toArrow()
-    )
-    excess = np.zeros(BUCKETS, np.int32)
-    excess[rows["bucket"].to_numpy()] = np.minimum(rows["excess"].to_numpy(), 2**31 - 1)
-    return profile.sparkSession.sparkContext.broadcast(excess)
-
-
 def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
     """(token, id, n) of the lists in which at least two classes occur."""
     shared = (
@@ -345,9 +379,14 @@ def _long_enough(one: str, other: str, num: int, den: int):
     return F.least(one, other) * den >= F.greatest(one, other) * num
 
 
-def _pivot_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): a pivot of a list and another member. In a group of copies most lists of a lane
-    agree on the pivot, so pairs are few times the members."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _pivot_pairs(lists: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """(a, b): a document and the pivot of k or more of its lists. In a group of copies most lists
+    of a lane agree on the pivot, so pairs are few times the members. Pairs that are missed
+    here are left to the merge."""
     vote = F.xxhash64(F.pmod("token", F.lit(LANES)), "id")
     pivots = lists.groupBy("token").agg(
         F.min_by("id", vote).alias("a"), F.min_by("n", vote).alias("size")
@@ -355,8 +394,10 @@ def _pivot_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     return (
         lists.join(pivots, "token")
         .where((F.col("a") != F.col("id")) & _long_enough("n", "size", num, den))
-        .select("a", F.col("id").alias("b"))
-        .distinct()
+        .groupBy("a", F.col("id").alias("b"))
+        .agg(F.count("*").alias("occurrences"))
+        .where(F.col("occurrences") >= k)
+        .select("a", "b")
     )
 
 
@@ -376,8 +417,8 @@ def _merged_pairs(
         member.groupBy("token", "c")
         .agg(F.count("*").alias("rows"))
         .groupBy("token")
-        .agg(F.max_by("c", "rows").alias("host"), F.sum("rows").alias("all"), F.count("*").alias("cs"))
-        .where("cs > 1 and all > 2")
+        .agg(F.max_by("c", "rows").alias("host"), F.count("*").alias("cs"))
+        .where("cs > 1")
         .select("token", "host")
     )
     open_lists = member.join(hosts, "token")
