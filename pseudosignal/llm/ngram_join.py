@@ -38,6 +38,7 @@ from pseudosignal.llm.common import (
     small_batches,
     stored,
     table,
+    without,
 )
 
 # Occurrences that a partner needs in the short lists.
@@ -437,6 +438,32 @@ def _merged_pairs(
     return pairs.select("a", "b").join(done, ["a", "b"], "left_anti")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, similarity_percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest doc_id.
+
+    All columns are kept. Rows with NULL doc_id stay. Of rows that repeat a doc_id that with
+    the smallest text stays. Only rows that may have to go are shuffled.
+    """
+    found = jaccard_components(docs, width, similarity_percent).where("doc_id is not null")
+    found = stored(found, "ngram-found")
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    twice = (
+        found.groupBy("doc_id")
+        .agg(F.count("*").alias("rows"), F.max("component_id").alias("c"))
+        .where("rows > 1 and c = doc_id")
+        .select("doc_id")
+    )
+    single = without(docs, "doc_id", gone.union(twice))
+    repeated = (
+        maybe_in(docs, "doc_id", membership_map(twice, "doc_id"))
+        .select(F.col("doc_id"), F.struct(*docs.columns).alias("row"), F.col("text").alias("order"))
+        .join(twice, "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min_by("row", F.coalesce("order", F.lit(""))).alias("row"))
+    )
+    return single.unionByName(repeated.select("row.*"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents: three words, similarity 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
