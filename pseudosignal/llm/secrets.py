@@ -183,8 +183,8 @@ def log_ratio(token: Column, weights: dict[int, int]) -> Column:
 def _random_spans(text: Column, weights: dict[int, int], threshold: int) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     high = F.transform(tokens, lambda t: log_ratio(t, weights) >= threshold)
-    placed = placed(text, TOKEN, lambda i: F.element_at(high, i))
-    return when_there(F.exists(tokens, lambda t: log_ratio(t, weights) >= threshold), placed)
+    spans = placed(text, TOKEN, lambda i: F.element_at(high, i))
+    return when_there(F.exists(tokens, lambda t: log_ratio(t, weights) >= threshold), spans)
 
 
 def _marks(spans: dict[str, Column]) -> Column:
