@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import numpy as np
+
+from pseudosignal.llm import ngram_join
+from pseudosignal.llm.common import components
+
+from .conftest import EDGES
+
+
+def shingles(text: str | None, width: int) -> set:
+    words = (text or "").encode().lower().split()
+    if not words:
+        return set()
+    width = min(width, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def brute_force(rows, width, percent):
+    """Component and set size of each row, comparing every pair."""
+    sets = [shingles(text, width) for _, text in rows]
+    low = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for (i, a), (j, b) in combinations([(r[0], s) for r, s in zip(rows, sets)], 2):
+        if i is None or j is None or not a or not b:
+            continue
+        if 100 * len(a & b) >= percent * len(a | b):
+            one, other = sorted((find(i), find(j)))
+            low[other] = one
+    return sorted(
+        ((i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)), key=str
+    )
+
+
+def found(docs, width, percent):
+    rows = ngram_join.jaccard_components(docs, width, percent).collect()
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def near_copies(seed: int) -> list:
+    """Groups of copies with a few words changed, around the threshold; chains; exact copies; a
+    sentence that many share."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4)))
+    common = [word() for _ in range(12)]
+    rows, number = [], 0
+    for _ in range(25):
+        text = [word() for _ in range(r.randint(5, 150))]
+        if r.random() < 0.5:
+            text = common + text
+        for _ in range(r.choice([1, 1, 2, 3, 9])):
+            rows.append((number, " ".join(text)))
+            number += 1
+            for _ in range(r.randint(0, 2)):
+                text[r.randrange(len(text))] = word()
+    r.shuffle(rows)
+    return rows
+
+
+def test_agrees_with_all_pairs(docs_of):
+    for seed, width, percent in ((1, 3, 90), (2, 5, 80)):
+        rows = near_copies(seed)
+        assert found(docs_of(rows), width, percent) == brute_force(rows, width, percent)
+
+
+def test_edges(edges):
+    rows = [r[:2] for r in EDGES]
+    assert found(edges, 3, 90) == brute_force(rows, 3, 90)
+
+
+def test_no_rows(docs_of):
+    assert found(docs_of([]), 3, 90) == []
+
+
+def test_group_without_one_centre_is_not_cut(docs_of):
+    """A chain: each links with the next only."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 240])) for i in range(12)]
+    # Each is 228 of 252 words: 226 of 250 shingles are shared, 90.4 percent.
+    assert {c for _, _, c in found(docs_of(rows), 3, 90)} == {0}
+    assert found(docs_of(rows), 3, 90) == brute_force(rows, 3, 90)
+
+
+def test_one_of_each_keeps_all_columns(docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of([(3, text), (1, text + " more"), (2, "other"), (None, text), (2, "other")])
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [
+        (0, text),
+        (1, text + " more"),
+        (2, "other"),
+    ]
+
+
+def test_short_lists_share_enough_with_any_partner():
+    """Two sets of the required overlap always meet k times in their short lists."""
+    r = np.random.default_rng(3)
+    cells = r.integers(0, 4, 1 << ngram_join.CELL_BITS).astype(np.uint8)
+    for n in (9, 10, 40, 300):
+        shared = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for extra in range(n // 10 + 1):
+            other = np.unique(np.append(shared, r.integers(0, 2**63, extra).astype(np.uint64)))
+            if 10 * len(shared) < 9 * len(other):
+                continue
+            one, two = (ngram_join._short_lists(s, cells, 90, 100, 2) for s in (shared, other))
+            assert len(np.intersect1d(one, two)) >= 2
+
+
+def test_components_of_a_star_and_a_path(spark):
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]
+    found_ = components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    want = {(i, 0) for i in range(40)} | {(i, 100) for i in range(100, 131)}
+    assert {tuple(r) for r in found_.collect()} == want
+    none = components(spark.createDataFrame([], "a bigint, b bigint"))
+    assert none.count() == 0
