@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pseudosignal.operators.delivery import MAX_DEPTH, SPOOL_FULL
 from pseudosignal.operators.keys import MAX_BROADCAST_INSTITUTIONS
+from pseudosignal.operators.signals import default_institution
 from pseudosignal.sources.sinks import checkpointed
 
 _DAY_SECONDS = 86_400
@@ -65,6 +66,13 @@ def admission_control(
     digit with counts, which combine before the shuffle, and every arrival is then
     compared with the cut of its institution.
     """
+    # Rows without institution belong to the default one, here as everywhere.
+    arrivals = default_institution(arrivals)
+    backlog_depth = (
+        default_institution(backlog_depth.select("institution_id", "spool_depth"))
+        .groupBy("institution_id")
+        .agg(F.sum("spool_depth").alias("spool_depth"))
+    )
     ordered = arrivals.select("institution_id", "enqueued_at", "seq").withColumns(_order_digits())
     totals = ordered.groupBy("institution_id").agg(F.count(F.lit(1)).alias("_arrivals"))
     free = F.lit(max_depth) - F.coalesce(F.col("spool_depth"), F.lit(0))

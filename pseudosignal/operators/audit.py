@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pseudosignal.functions.text import present
-from pseudosignal.operators.signals import wire_json
 from pseudosignal.schema import SIGNAL_FIELDS
 
 PERSONAL_FIELDS = (
@@ -24,8 +23,12 @@ SUPPLIED_HASHES = ("device_id_hash", "ip_hash")
 MIN_CONTAINED_CHARS = 6
 
 
+def _containing(value: Column):
+    return lambda output: F.contains(output, value)
+
+
 def pii_leak_audit(raw: DataFrame, signals: DataFrame, key: str = "tx_id") -> DataFrame:
-    """Per raw field: values checked, equal to an output value, contained in the wire record.
+    """Per raw field: values checked, equal to an output value, contained in one.
 
     Callers may supply device and IP hashes themselves, and these pass unchanged;
     ``not_a_hash`` counts those that are not 64 hex digits. All counts come from
@@ -37,7 +40,7 @@ def pii_leak_audit(raw: DataFrame, signals: DataFrame, key: str = "tx_id") -> Da
         F.col(f"_signal.metadata.{f.name}").cast("string")
         for f in signals.schema["metadata"].dataType
     ]
-    # The wire record is written after the join: it is longer than what it is made of.
+    # Values are searched as they are: in JSON text some characters are escaped.
     packed = signals.select(key, F.struct(*SIGNAL_FIELDS).alias("_signal"))
     both = (
         raw.select(key, *fields)
@@ -45,17 +48,18 @@ def pii_leak_audit(raw: DataFrame, signals: DataFrame, key: str = "tx_id") -> Da
         .select(
             *fields,
             F.array(*outputs).alias("_values"),
-            wire_json([F.col(f"_signal.{c}").alias(c) for c in SIGNAL_FIELDS]).alias("_wire"),
         )
     )
 
     counts = []
     for name in PERSONAL_FIELDS:
         value = present(F.col(name))
-        inside = (F.char_length(value) >= MIN_CONTAINED_CHARS) & F.contains(F.col("_wire"), value)
+        long_enough = F.char_length(value) >= MIN_CONTAINED_CHARS
+        inside = long_enough & F.exists(F.col("_values"), _containing(value))
         counts += [
             F.count(value).alias(f"{name}__checked"),
             F.count_if(F.array_contains(F.col("_values"), value)).alias(f"{name}__equal"),
+            F.count_if(long_enough).alias(f"{name}__contained_checked"),
             F.count_if(inside).alias(f"{name}__contained"),
             F.lit(0).cast("long").alias(f"{name}__not_a_hash"),
         ]
@@ -64,10 +68,11 @@ def pii_leak_audit(raw: DataFrame, signals: DataFrame, key: str = "tx_id") -> Da
         counts += [
             F.count(value).alias(f"{name}__checked"),
             F.lit(0).cast("long").alias(f"{name}__equal"),
+            F.lit(0).cast("long").alias(f"{name}__contained_checked"),
             F.lit(0).cast("long").alias(f"{name}__contained"),
             F.count_if(~value.rlike(r"\A[0-9a-f]{64}\z")).alias(f"{name}__not_a_hash"),
         ]
-    columns = ("checked", "equal", "contained", "not_a_hash")
+    columns = ("checked", "equal", "contained_checked", "contained", "not_a_hash")
     rows = F.array(
         *[
             F.struct(

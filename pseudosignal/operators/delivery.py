@@ -91,17 +91,17 @@ def dead_letters(outbox: DataFrame, attempts: DataFrame) -> DataFrame:
 
     ``rejected`` means a permanent answer, ``unreadable`` a lost payload.
     """
-    totals = _attempt_totals(attempts).where(F.col("_delivered") | F.col("_permanent"))
-    joined = outbox.join(totals, "signal_id", "left")
-    dead = joined.where(
-        ~F.coalesce(F.col("_delivered"), F.lit(False))
-        & (F.coalesce(F.col("_permanent"), F.lit(False)) | F.col("payload").isNull())
-    )
-    return dead.select(
-        "signal_id",
-        "institution_id",
-        F.when(F.col("_permanent"), F.lit("rejected")).otherwise(F.lit("unreadable")).alias("reason"),
-        "payload",
+    totals = _attempt_totals(attempts)
+    refused = totals.where(F.col("_permanent") & ~F.col("_delivered")).select("signal_id")
+    finished = totals.where(F.col("_permanent") | F.col("_delivered")).select("signal_id")
+
+    def letters(dead: DataFrame, reason: str) -> DataFrame:
+        return dead.select("signal_id", "institution_id", F.lit(reason).alias("reason"), "payload")
+
+    # Only dead signals are joined; the others need not travel with their payload.
+    lost = outbox.where(F.col("payload").isNull()).join(finished, "signal_id", "left_anti")
+    return letters(outbox.join(refused, "signal_id"), "rejected").unionByName(
+        letters(lost, "unreadable")
     )
 
 

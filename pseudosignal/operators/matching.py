@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pseudosignal.functions.instants import rfc3339_seconds, utc_text
+
 from pseudosignal.schema import SCOPE_GLOBAL
 
 FINGERPRINTS = ("account_hash", "device_id_hash", "ip_hash")
@@ -45,20 +47,23 @@ def cross_institution(signals: DataFrame, min_institutions: int = 2) -> DataFram
 
 def within_institution(signals: DataFrame, min_signals: int = 2) -> DataFrame:
     """Identities, local or global, with several signals at one institution."""
-    # TIME_UNKNOWN sorts after every bucket; it must not become the last one.
-    known = F.when(F.col("timestamp") != "TIME_UNKNOWN", F.col("timestamp"))
-    return (
+    # As numbers, which a hash aggregate can hold; TIME_UNKNOWN is NULL and never a bound.
+    seconds = rfc3339_seconds(F.col("timestamp"))
+    grouped = (
         signals.groupBy(
             version().alias("mosaic_version"), "institution_id", "mosaic_scope", "identity_mosaic"
         )
         .agg(
             F.count(F.lit(1)).alias("signals"),
             F.count_if(F.col("metadata.is_near_threshold")).alias("near_threshold_signals"),
-            F.min(known).alias("first_bucket"),
-            F.max(known).alias("last_bucket"),
+            F.min(seconds).alias("first_bucket"),
+            F.max(seconds).alias("last_bucket"),
         )
         .where(F.col("signals") >= min_signals)
     )
+    return grouped.withColumns(
+        {name: utc_text(F.col(name)) for name in ("first_bucket", "last_bucket")}
+    )
 
 
 def route_links(signals: DataFrame) -> DataFrame:

@@ -42,8 +42,12 @@ def queued_counters(state: DataFrame, admissions: DataFrame | None = None) -> Da
     """Counters of queued delivery.
 
     A signal counts as processed when it is queued. ``admissions`` adds the
-    arrivals that were refused because the queue was full.
+    arrivals that were refused because the queue was full; these were never queued,
+    so they count as nothing else.
     """
+    if admissions is not None:
+        refused = admissions.where(~F.col("admitted"))
+        state = state.join(refused.select("signal_id"), "signal_id", "left_anti")
     queued = state.groupBy("institution_id").agg(
         F.count(F.lit(1)).alias("signals_processed"),
         F.count_if(F.col("state") == DELIVERED).alias("signals_forwarded"),
@@ -51,11 +55,8 @@ def queued_counters(state: DataFrame, admissions: DataFrame | None = None) -> Da
     )
     parts = [queued]
     if admissions is not None:
-        parts.append(
-            admissions.where(~F.col("admitted"))
-            .groupBy("institution_id")
-            .agg(F.count(F.lit(1)).alias("spool_rejects"))
-        )
+        rejects = F.count(F.lit(1)).alias("spool_rejects")
+        parts.append(refused.groupBy("institution_id").agg(rejects))
     return _totals(parts, "queued")
 
 

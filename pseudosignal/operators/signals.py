@@ -105,19 +105,36 @@ def _with_national_ids(df: DataFrame) -> DataFrame:
     )
 
 
-def _known(df: DataFrame, ring: KeyRing, *columns: str) -> DataFrame:
-    return attach_keys(default_institution(df), ring, *columns).where("_has_key")
+def _with_keys(df: DataFrame, ring: KeyRing, *columns: str) -> DataFrame:
+    return attach_keys(default_institution(df), ring, *columns)
+
+
+def _if_known(columns: dict[str, Column]) -> list[Column]:
+    """The columns, NULL for rows of institutions without keys, and the reason for it."""
+    known = F.coalesce(F.col("_has_key"), F.lit(False))
+    return [
+        *[F.when(known, column).alias(name) for name, column in columns.items()],
+        F.when(~known, F.lit(UNKNOWN_INSTITUTION)).alias("reject_reason"),
+    ]
 
 
 def identity_mosaics(df: DataFrame, ring: KeyRing, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
-    """Identity mosaic, scope and version of each transaction of a known institution."""
+    """Identity mosaic, scope and version of each transaction.
+
+    Here and in the other column operators, rows of an institution without keys stay,
+    with NULL results and ``reject_reason``.
+    """
     is_global = F.col("_national_id") != ""
     message = _identity_message(F.col("_national_id"))
-    return _with_national_ids(_known(df, ring, *_MOSAIC_KEYS)).select(
+    return _with_national_ids(_with_keys(df, ring, *_MOSAIC_KEYS)).select(
         *keep,
-        _keyed(is_global, message).alias("identity_mosaic"),
-        _scope(is_global).alias("mosaic_scope"),
-        F.lit(MOSAIC_VERSION).alias("mosaic_version"),
+        *_if_known(
+            {
+                "identity_mosaic": _keyed(is_global, message),
+                "mosaic_scope": _scope(is_global),
+                "mosaic_version": F.lit(MOSAIC_VERSION),
+            }
+        ),
     )
 
 
@@ -128,23 +145,31 @@ def destination_mosaics(
     is_global = F.col("_counterparty_national_id") != ""
     message = F.col("_message")
     return (
-        _with_national_ids(_known(df, ring, *_MOSAIC_KEYS))
+        _with_national_ids(_with_keys(df, ring, *_MOSAIC_KEYS))
         .withColumn("_message", _destination_message(F.col("_counterparty_national_id")))
         .select(
             *keep,
-            _keyed(is_global, message).alias("destination_mosaic"),
-            F.when(message.isNotNull(), _scope(is_global)).alias("destination_mosaic_scope"),
+            *_if_known(
+                {
+                    "destination_mosaic": _keyed(is_global, message),
+                    "destination_mosaic_scope": F.when(message.isNotNull(), _scope(is_global)),
+                }
+            ),
         )
     )
 
 
 def salted_hashes(df: DataFrame, ring: KeyRing, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
     """Account, device and IP hashes."""
-    return _known(df, ring, "bank_salt").select(
+    return _with_keys(df, ring, "bank_salt").select(
         *keep,
-        _account_hash().alias("account_hash"),
-        _supplied_or_hashed("device_id_hash", "device_id").alias("device_id_hash"),
-        _supplied_or_hashed("ip_hash", "ip").alias("ip_hash"),
+        *_if_known(
+            {
+                "account_hash": _account_hash(),
+                "device_id_hash": _supplied_or_hashed("device_id_hash", "device_id"),
+                "ip_hash": _supplied_or_hashed("ip_hash", "ip"),
+            }
+        ),
     )
 
 
@@ -152,9 +177,9 @@ def near_threshold_flags(
     df: DataFrame, ring: KeyRing, keep: tuple[str, ...] = ("tx_id",)
 ) -> DataFrame:
     """The near-threshold flag under each institution's own limit."""
-    return _known(df, ring, "reporting_threshold").select(
-        *keep,
-        near_threshold(F.col("amount"), F.col("reporting_threshold")).alias("is_near_threshold"),
+    flag = near_threshold(F.col("amount"), F.col("reporting_threshold"))
+    return _with_keys(df, ring, "reporting_threshold").select(
+        *keep, *_if_known({"is_near_threshold": flag})
     )
 
 

@@ -15,7 +15,12 @@ from pseudosignal.operators import validate as va
 from pseudosignal.plans import sample_tables as sample
 from pseudosignal.schema import RAW_FIELDS
 from pseudosignal.session import tune
-from pseudosignal.sources import conform, decode_transactions, shared_folder
+from pseudosignal.sources import (
+    conform,
+    decode_transactions,
+    read_lines,
+    shared_folder,
+)
 from pseudosignal.sources.sinks import checkpointed
 from pseudosignal.streaming import ingest as stream
 
@@ -69,6 +74,14 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir)
 
 
+def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as text files by institution, read and decoded."""
+    folder = shared_folder(spark, "lines")
+    lines = sample.transaction_lines(_raw(spark, sf_dir)).select("value", "institution_id")
+    lines.write.partitionBy("institution_id").text(folder)
+    return decode_transactions(read_lines(spark, folder))
+
+
 def decode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir)
 
@@ -311,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "identity_mosaics": identity_mosaics,
     "destination_mosaics": destination_mosaics,
     "salted_hashes": salted_hashes,
+    "read_json_lines": read_json_lines,
     "amount_tiers": amount_tiers,
     "near_threshold": near_threshold,
     "location_zones": location_zones,

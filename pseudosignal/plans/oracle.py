@@ -312,7 +312,8 @@ def _audit() -> str:
     parts = [
         f"SELECT '{f}' AS field, count(nullif({f}, '')) AS checked,"
         f" count(*) FILTER (list_contains([{values}], nullif({f}, ''))) AS equal,"
-        f" count(*) FILTER (length({f}) >= 6 AND contains(payload, {f})) AS contained,"
+        f" count(*) FILTER (length({f}) >= 6) AS contained_checked, count(*) FILTER (length({f}) >= 6"
+        f" AND len([v FOR v IN [{values}] IF contains(v, {f})]) > 0) AS contained,"
         " 0::BIGINT AS not_a_hash FROM wire"
         for f in (
             "id",
@@ -326,7 +327,7 @@ def _audit() -> str:
         )
     ]
     parts += [
-        f"SELECT '{name}', count({given}), 0::BIGINT, 0::BIGINT,"
+        f"SELECT '{name}', count({given}), 0::BIGINT, 0::BIGINT, 0::BIGINT,"
         f" count(*) FILTER (NOT regexp_full_match({given}, '[0-9a-f]{{64}}')) FROM wire"
         for name, given in (("device_id_hash", "given_device_hash"), ("ip_hash", "given_ip_hash"))
     ]
@@ -343,6 +344,7 @@ def _rollup() -> str:
 ORACLE: dict[str, str] = {
     "raw_transactions": _raw(f"SELECT tx_id, institution_id, {_RAW} FROM raw_tx"),
     "decode_transactions": _lines(f"SELECT tx_id, institution_id, {_RAW}, decode_error FROM decoded"),
+    "read_json_lines": _lines(f"SELECT institution_id, {_RAW}, decode_error FROM decoded"),
     "reject_summary": _lines(
         "SELECT institution_id, reject_field, reject_reason, count(*) AS rejects FROM judged"
         " WHERE reject_field IS NOT NULL GROUP BY ALL"
@@ -362,17 +364,21 @@ ORACLE: dict[str, str] = {
         " counterparty_national_id_norm FROM normal"
     ),
     "identity_mosaics": _derived(
-        "SELECT tx_id, identity_mosaic, mosaic_scope, 2::INTEGER AS mosaic_version FROM derived"
+        "SELECT tx_id, identity_mosaic, mosaic_scope, 2::INTEGER AS mosaic_version,"
+        " NULL::VARCHAR AS reject_reason FROM derived"
     ),
     "destination_mosaics": _derived(
-        "SELECT tx_id, destination_mosaic, destination_mosaic_scope FROM derived"
+        "SELECT tx_id, destination_mosaic, destination_mosaic_scope, NULL::VARCHAR AS reject_reason"
+        " FROM derived"
     ),
     "salted_hashes": _derived(
-        "SELECT tx_id, account_hash, device_hash AS device_id_hash, ip_address_hash AS ip_hash"
-        " FROM derived"
+        "SELECT tx_id, account_hash, device_hash AS device_id_hash, ip_address_hash AS ip_hash,"
+        " NULL::VARCHAR AS reject_reason FROM derived"
     ),
     "amount_tiers": _derived("SELECT tx_id, amount, amount_tier FROM derived"),
-    "near_threshold": _derived("SELECT tx_id, amount, is_near_threshold FROM derived"),
+    "near_threshold": _derived(
+        "SELECT tx_id, amount, is_near_threshold, NULL::VARCHAR AS reject_reason FROM derived"
+    ),
     "location_zones": _derived("SELECT tx_id, location_zone FROM derived"),
     "time_buckets": _derived('SELECT tx_id, "timestamp", time_bucket FROM derived'),
     "signals": _derived(f"SELECT {_SIGNAL_COLUMNS} FROM sig"),
@@ -428,13 +434,13 @@ ORACLE: dict[str, str] = {
         " CASE WHEN NOT admitted THEN 'spool_full' END AS reject_reason FROM admission"
     ),
     "metrics_counters": _delivery(
-        """SELECT institution_id, 'queued' AS mode, count(*) AS signals_processed,
-             count(*) FILTER (state = 'delivered') AS signals_forwarded,
-             count(*) FILTER (state = 'dead') AS signals_dead_lettered,
-             (SELECT count(*) FROM admission a WHERE a.institution_id = s.institution_id
-                AND NOT admitted) AS spool_rejects,
+        """SELECT institution_id, 'queued' AS mode, count(*) FILTER (NOT turned_away) AS signals_processed,
+             count(*) FILTER (NOT turned_away AND state = 'delivered') AS signals_forwarded,
+             count(*) FILTER (NOT turned_away AND state = 'dead') AS signals_dead_lettered,
+             count(*) FILTER (turned_away) AS spool_rejects,
              0::BIGINT AS forward_failures, 0::BIGINT AS processing_time_ms_total
-           FROM state s GROUP BY institution_id
+           FROM (SELECT s.*, coalesce(NOT a.admitted, false) AS turned_away
+                 FROM state s LEFT JOIN admission a USING (signal_id)) GROUP BY institution_id
            UNION ALL
            SELECT institution_id, 'synchronous', count(*) FILTER (ok), count(*) FILTER (ok), 0, 0,
              count(*) FILTER (NOT ok AND (refused OR n >= 3)),

@@ -12,6 +12,8 @@ RECOMMENDED = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Joins and rebalanced writes rely on adaptive execution to split hot keys.
     "spark.sql.adaptive.enabled": "true",
+    # JSON lines may repeat keys inside fields that are not read.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 

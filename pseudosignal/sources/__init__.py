@@ -2,6 +2,7 @@
 
 from pseudosignal.sources.json_lines import decode_transactions, read_lines
 from pseudosignal.sources.sinks import (
+    read_signals,
     shared_folder,
     write_rejects,
     write_signals,
@@ -13,6 +14,7 @@ __all__ = [
     "conform",
     "decode_transactions",
     "read_lines",
+    "read_signals",
     "read_transactions",
     "shared_folder",
     "write_rejects",

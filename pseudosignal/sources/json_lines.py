@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from pseudosignal.schema import NUMBER_FIELDS, RAW_FIELDS, RAW_SCHEMA
 MAX_PAYLOAD_BYTES = 1 << 20
 INVALID_JSON = "invalid JSON"
 OVERSIZE = "oversize"
+_INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
 
 _STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 _CORRUPT = "_corrupt"
@@ -37,10 +41,23 @@ _ESCAPED_LETTER = r"(?i)\\u(?:00[4-7]|017f|212a)"
 def read_lines(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
     """Text files of one JSON transaction per line, as column ``value``.
 
-    A partition directory such as ``institution_id=X`` becomes a column.
+    A partition directory such as ``institution_id=X`` becomes a text column: the types
+    of such columns are not inferred, or ``007`` would become a number.
     """
     reader = spark.readStream if stream else spark.read
-    return reader.options(**options).text(path)
+    with partitions_as_text(spark):
+        return reader.options(**options).text(path)
+
+
+@contextmanager
+def partitions_as_text(spark: SparkSession) -> Iterator[None]:
+    """Within it, folders that are opened have text partition columns."""
+    before = spark.conf.get(_INFERENCE)
+    spark.conf.set(_INFERENCE, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_INFERENCE, before)
 
 
 def decode_transactions(
@@ -63,7 +80,9 @@ def decode_transactions(
     line with as many keys as fields found, and as many text values as text fields
     found, has nothing but known, distinct and well-typed keys. Lines with other keys
     are confirmed by counting the mentions of known keys. Any line left is parsed
-    into the list of its entries and judged entry by entry.
+    into the list of its entries and judged entry by entry. A line that cannot be
+    listed is malformed: without ``spark.sql.variant.allowDuplicateKeys`` (see ``tune``)
+    that also holds for lines to be listed that repeat a key inside an unknown field.
     """
     others = [c for c in lines.columns if c != value]
     too_long = F.octet_length(F.col(value)) > max_bytes
@@ -101,15 +120,19 @@ def decode_transactions(
         & ~F.col("_text").rlike(_ESCAPED_LETTER)
     )
     entries = F.map_entries(F.from_json("_text", "map<string,variant>", _STRICT))
-    listed = counted.withColumn(
-        "_entries", F.when(F.expr(f"_doc.{_CORRUPT} is null") & ~confirmed, entries)
-    ).withColumn("_entries", F.expr(_FOLDED_ENTRIES))
+    # Whether the entries decide; from here on the lenient parse of such a line is not used.
+    slow = F.expr(f"_doc.{_CORRUPT} is null") & ~F.coalesce(confirmed, F.lit(False))
+    listed = (
+        counted.withColumn("_slow", F.coalesce(slow, F.lit(False)))
+        .withColumn("_entries", F.when(F.col("_slow"), entries))
+        .withColumn("_entries", F.expr(_FOLDED_ENTRIES))
+    )
     typed = listed.select(
         *others,
         "_too_long",
         F.coalesce(F.col("_text").rlike(_NULL_DOCUMENT), F.lit(False)).alias("_null_doc"),
         F.expr(
-            f"_doc is null or _doc.{_CORRUPT} is not null"
+            f"_doc is null or _doc.{_CORRUPT} is not null or (_slow and _entries is null)"
             f" or coalesce(exists(_entries, e -> {_MISTYPED_ENTRY}), false)"
         ).alias("_malformed"),
         *[F.expr(_field(name)).alias(name) for name in RAW_FIELDS],
@@ -155,5 +178,5 @@ def _field(name: str) -> str:
     counts = "true" if name in _COORDINATES else "e.kind <> 'VOID'"
     last = f"try_element_at(filter(_entries, e -> e.key = '{name}' and {counts}), -1)"
     return (
-        f"if(_entries is null, _doc.{name}, try_variant_get({last}.value, '$', '{kind}'))"
+        f"if(_slow, try_variant_get({last}.value, '$', '{kind}'), _doc.{name})"
     )

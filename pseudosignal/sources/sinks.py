@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pseudosignal.schema import SIGNAL_SCHEMA
 
 
 def write_signals(signals: DataFrame, path: str, mode: str = "append") -> None:
@@ -25,6 +28,13 @@ def write_signals(signals: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """A signal table as ``write_signals`` or the stream's sink wrote it: the columns of a signal
+    and ``bucket_date``. The schema is given, so identifiers stay text as they were."""
+    schema = T.StructType([*SIGNAL_SCHEMA.fields, T.StructField("bucket_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
 def write_wire_text(payloads: DataFrame, path: str, mode: str = "append") -> None:
     """Wire records as text, one JSON document per line."""
     payloads.select("payload").write.mode(mode).text(path)

@@ -7,7 +7,7 @@ from pseudosignal.streaming.ingest import (
     start_line_ingest,
     start_signal_sink,
 )
-from pseudosignal.streaming.rollup import late_rows, windowed_rollup
+from pseudosignal.streaming.rollup import late_rows, untimed_rows, windowed_rollup
 
 __all__ = [
     "late_rows",
@@ -16,5 +16,6 @@ __all__ = [
     "start_ingest",
     "start_line_ingest",
     "start_signal_sink",
+    "untimed_rows",
     "windowed_rollup",
 ]

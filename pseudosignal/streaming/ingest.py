@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,8 +19,8 @@ ROLLUP = "rollup"
 OBSERVED = "ingest"
 
 
-def _batch_path(out: str, table: str, batch_id: int) -> str:
-    return f"{out.rstrip('/')}/{table}/batch_id={batch_id}"
+def _batch_path(out: str, table: str, query_id: str, batch_id: int) -> str:
+    return f"{out.rstrip('/')}/{table}/query_id={query_id}/batch_id={batch_id}"
 
 
 def start_ingest(
@@ -32,9 +34,11 @@ def start_ingest(
 ) -> StreamingQuery:
     """Pseudonymise a stream of transactions into a signal table and a quarantine table.
 
-    Every micro-batch overwrites its own ``batch_id`` folder, so a batch that is
-    repeated after a failure replaces what it wrote before: each transaction counts
-    once. Nothing is dropped as late, the job keeps no state.
+    Every micro-batch overwrites its own folder, so a batch that is repeated after a
+    failure replaces what it wrote before: each transaction counts once. The folder
+    names the query, which is that of the checkpoint, so a query with a new checkpoint
+    adds to the output and never replaces it. Nothing is dropped as late, the job keeps
+    no state.
 
     ``rollup`` also writes each batch's own signal rollup; these add up. The counts of valid
     and rejected transactions are observed metrics of the query progress.
@@ -45,28 +49,35 @@ def start_ingest(
         F.count(F.col("reject_field")).alias("rejected"),
     )
 
+    started, names = threading.Event(), {}
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        own = (names["query"], batch_id)
         # Two or three outputs, one decoding: the outcomes stay until all are written.
         held = batch.persist()
         try:
             signals = accepted(held, keep)
-            signals.write.mode("overwrite").parquet(_batch_path(out, SIGNALS, batch_id))
+            signals.write.mode("overwrite").parquet(_batch_path(out, SIGNALS, *own))
             refused(held, keep).write.mode("overwrite").parquet(
-                _batch_path(out, QUARANTINE, batch_id)
+                _batch_path(out, QUARANTINE, *own)
             )
             if rollup:
                 signal_rollup(signals).write.mode("overwrite").parquet(
-                    _batch_path(out, ROLLUP, batch_id)
+                    _batch_path(out, ROLLUP, *own)
                 )
         finally:
             held.unpersist()
 
-    return (
+    query = (
         outcomes.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
+    names["query"] = query.id
+    started.set()
+    return query
 
 
 def start_line_ingest(
@@ -96,7 +107,7 @@ def start_signal_sink(
 
 def read_output(spark: SparkSession, out: str, table: str) -> DataFrame:
     """A table that the ingest stream has written so far."""
-    return spark.read.parquet(f"{out.rstrip('/')}/{table}").drop("batch_id")
+    return spark.read.parquet(f"{out.rstrip('/')}/{table}").drop("query_id", "batch_id")
 
 
 def read_rollup(spark: SparkSession, out: str) -> DataFrame:

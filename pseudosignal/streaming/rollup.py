@@ -10,6 +10,7 @@ from pseudosignal.functions.instants import bucket_instant
 from pseudosignal.operators.metrics import rollup_columns
 
 DEFAULT_WATERMARK = "7 days"
+OBSERVED = "windowed_rollup"
 
 
 def windowed_rollup(signals: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
@@ -18,11 +19,17 @@ def windowed_rollup(signals: DataFrame, watermark: str = DEFAULT_WATERMARK) -> D
     Backlogged signals arrive with their original bucket, so the watermark has to
     cover the longest outage. What comes later still is not added to its window;
     ``late_rows`` counts it. Where no row may be lost, use the partial rollups of
-    the ingest stream, which need no watermark.
+    the ingest stream, which need no watermark. Signals without a bucket are in no
+    window; the stream observes their number, and ``untimed_rows`` returns it.
     """
     timed = rollup_columns(signals).withColumn("_instant", bucket_instant(F.col("bucket")))
+    counted = timed.observe(
+        OBSERVED,
+        F.count(F.lit(1)).alias("signals"),
+        F.count_if(F.col("_instant").isNull()).alias("untimed"),
+    )
     return (
-        timed.withWatermark("_instant", watermark)
+        counted.withWatermark("_instant", watermark)
         .groupBy(
             F.window("_instant", "15 minutes"), "location_zone", "amount_tier", "institution_id"
         )
@@ -41,8 +48,16 @@ def windowed_rollup(signals: DataFrame, watermark: str = DEFAULT_WATERMARK) -> D
     )
 
 
+def untimed_rows(query: StreamingQuery) -> int:
+    """Signals without a bucket, over the progress reports that the query holds
+    (``spark.sql.streaming.numRecentProgressUpdates`` of them)."""
+    found = (progress.observedMetrics.get(OBSERVED) for progress in query.recentProgress)
+    return sum(row["untimed"] for row in found if row is not None)
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Partial groups a windowed rollup has dropped as too late, over its recent progress."""
+    """Partial groups a windowed rollup has dropped as too late, over the progress reports that
+    the query holds (``spark.sql.streaming.numRecentProgressUpdates`` of them)."""
     return sum(
         operator.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress

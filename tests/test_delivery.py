@@ -119,10 +119,12 @@ def test_counters(spark, queue):
     outbox, attempts = queue
     state = delivery.delivery_state(outbox, attempts)
     refusals = spark.createDataFrame(
-        [("B", False), ("B", True), ("E", False)], "institution_id string, admitted boolean"
+        [(4, "B", False), (3, "B", True), (77, "E", False)],
+        "signal_id bigint, institution_id string, admitted boolean",
     )
     rows = {r["institution_id"]: r for r in metrics.queued_counters(state, refusals).collect()}
-    assert tuple(rows["B"])[2:] == (5, 1, 2, 1, 0, 0)
+    # Signal 4 was refused, so it is not processed.
+    assert tuple(rows["B"])[2:] == (4, 1, 2, 1, 0, 0)
     assert tuple(rows["E"])[2:] == (0, 0, 0, 1, 0, 0)
     depth = {r["institution_id"]: r["spool_depth"] for r in metrics.backlog_depth(state).collect()}
     assert depth == {"B": 2, "C": 2, "D": 0}
