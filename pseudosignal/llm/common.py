@@ -11,7 +11,7 @@ from pseudosignal.sources.sinks import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows per Arrow batch. Documents can be very long, so batches are small.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,9 @@ T-occurrence search in the manner of DivideSkip. A document of n shingles can on
 similarity s with documents that share at least T = ceil(s n) of its shingles. Each of its
 shingles has an inverted list. The T - k longest lists are set aside; any partner must then
 occur k times in the other, short lists. Those are merged (counted); survivors are probed
-in the long lists, which is a binary search in the partner's sorted shingles.
+in the long lists, which is a binary search in the partner's sorted shingles. An occurrence
+counts only where it can be one of the first k: what follows it in either set must hold the
+rest of the required overlap.
 
 Long and short are told apart in one global order: by the count of a shingle's cell in a
 count sketch of fixed size, then by hash. A cell counts at least the documents that have
@@ -46,7 +48,7 @@ MERGED = 2
 # Cells of the count sketch, one byte each: 16 MiB, in chunks.
 CELL_BITS = 24
 CELL_SHIFT = np.uint64(64 - CELL_BITS)
-CHUNK = 1 << 17
+CHUNK = 1 << 14
 # Lanes in which sketches of tasks are added up first.
 SKETCH_LANES = 32
 # Words whose hashes a worker remembers.
@@ -112,8 +114,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             old = cells[at]
             cells[at] = old + (old < 255)
         yield _rows(batch.column(0), n, h1, h2, [None] * len(n), [None] * len(n))
-    for start in range(0, len(cells), 16 * CHUNK):
-        some = cells[start : start + 16 * CHUNK].reshape(-1, CHUNK)
+    for start in range(0, len(cells), 64 * CHUNK):
+        some = cells[start : start + 64 * CHUNK].reshape(-1, CHUNK)
         used = np.flatnonzero(some.any(axis=1))
         if len(used):
             none = [None] * len(used)
@@ -182,22 +184,26 @@ def _can_link(n: int, num: int, den: int) -> bool:
     return n * den >= num * (n + 1)
 
 
-def _short_lists(found: np.ndarray, cells: np.ndarray, num: int, den: int, k: int) -> np.ndarray:
-    """Shingles of all but the T - k longest lists (and such that tie with the last of them)."""
+def _short_lists(
+    found: np.ndarray, cells: np.ndarray, num: int, den: int, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all but the T - k longest lists (and such that tie with the last of them), and
+    how many of the set's shingles come before each in the order."""
     take = min(len(found), len(found) - _required(len(found), num, den) + k)
     order = (cells[found >> CELL_SHIFT].astype(np.uint64) << np.uint64(56)) | (
         found >> np.uint64(8)
     )
-    return found[order <= np.partition(order, take - 1)[take - 1]]
+    short = order <= np.partition(order, take - 1)[take - 1]
+    return found[short], np.searchsorted(np.sort(order[short]), order[short])
 
 
 def _postings(
     batches: Iterator[pa.RecordBatch], width: int, cells: np.ndarray, num: int, den: int, k: int
 ) -> Iterator[pa.RecordBatch]:
-    """(token, h1, h2, n) for the short lists of each set; a worker writes a set only once."""
+    """(token, h1, h2, n, pos) for the short lists of each set; a worker writes a set only once."""
     shingles, seen = Shingles(width), set()
     for batch in batches:
-        tokens, marks, sizes, lengths = [], [], [], []
+        tokens, places, marks, sizes, lengths = [], [], [], [], []
         for text in batch.column(0):
             found = shingles(text.as_py() or b"")
             if not _can_link(len(found), num, den):
@@ -207,8 +213,9 @@ def _postings(
                 continue
             if len(seen) < 1_000_000:
                 seen.add(mark)
-            short = _short_lists(found, cells, num, den, k)
+            short, place = _short_lists(found, cells, num, den, k)
             tokens.append(short)
+            places.append(place)
             marks.append((_signed(mark >> 64), _signed(mark & (1 << 64) - 1)))
             sizes.append(len(found))
             lengths.append(len(short))
@@ -220,8 +227,9 @@ def _postings(
                     pa.array(np.ascontiguousarray(h[:, 0])),
                     pa.array(np.ascontiguousarray(h[:, 1])),
                     pa.array(np.repeat(np.array(sizes, np.int64), lengths)),
+                    pa.array(np.concatenate(places).astype(np.int64)),
                 ],
-                names=["token", "h1", "h2", "n"],
+                names=["token", "h1", "h2", "n", "pos"],
             )
 
 
@@ -313,7 +321,7 @@ def jaccard_components(
     postings = stored(
         named.select("text").mapInArrow(
             lambda batches: _postings(batches, width, cells.value, num, den, k),
-            "token bigint, h1 bigint, h2 bigint, n bigint",
+            "token bigint, h1 bigint, h2 bigint, n bigint, pos bigint",
         ),
         "ngram-postings",
     )
@@ -358,7 +366,7 @@ def jaccard_components(
 
 
 def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, id, n) of the lists in which at least two classes occur."""
+    """(token, id, n, pos) of the lists in which at least two classes occur."""
     shared = (
         postings.groupBy("token")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
@@ -371,13 +379,16 @@ def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
         candidates.join(shared, "token")
         .distinct()
         .join(classes, ["h1", "h2"])
-        .select("token", "id", "n")
+        .select("token", "id", "n", "pos")
     )
 
 
-def _long_enough(one: str, other: str, num: int, den: int):
-    """Sets of these sizes can reach the similarity."""
-    return F.least(one, other) * den >= F.greatest(one, other) * num
+def _can_meet(n: str, pos: str, m: str, place: str, num: int, den: int, k: int):
+    """Sets of n and m shingles can be similar enough, and a shingle that they share at these places
+    can be among the first k they share: what is left of either then holds the rest of T."""
+    sizes = F.least(n, m) * den >= F.greatest(n, m) * num
+    left = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) + (k - 1)
+    return sizes & (left * (num + den) >= (F.col(n) + F.col(m)) * num)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -390,11 +401,13 @@ def _pivot_pairs(lists: DataFrame, num: int, den: int, k: int) -> DataFrame:
     here are left to the merge."""
     vote = F.xxhash64(F.pmod("token", F.lit(LANES)), "id")
     pivots = lists.groupBy("token").agg(
-        F.min_by("id", vote).alias("a"), F.min_by("n", vote).alias("size")
+        F.min_by("id", vote).alias("a"),
+        F.min_by("n", vote).alias("m"),
+        F.min_by("pos", vote).alias("place"),
     )
     return (
         lists.join(pivots, "token")
-        .where((F.col("a") != F.col("id")) & _long_enough("n", "size", num, den))
+        .where((F.col("a") != F.col("id")) & _can_meet("n", "pos", "m", "place", num, den, k))
         .groupBy("a", F.col("id").alias("b"))
         .agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= k)
@@ -411,7 +424,7 @@ def _merged_pairs(
     rows grow with those stragglers, not with the square of a group of copies.
     """
     member = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", F.coalesce("component", "id").alias("c")
+        "token", "id", "n", "pos", F.coalesce("component", "id").alias("c")
     )
     member = stored(member, "ngram-members")
     hosts = (
@@ -424,12 +437,16 @@ def _merged_pairs(
     )
     open_lists = member.join(hosts, "token")
     query = open_lists.where("c != host").select(
-        "token", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("c").alias("qc")
+        "token",
+        F.col("id").alias("q"),
+        F.col("n").alias("m"),
+        F.col("pos").alias("place"),
+        F.col("c").alias("qc"),
     )
     pairs = (
         query.join(open_lists, "token")
         .where("c != qc and (c = host or q < id)")
-        .where(_long_enough("n", "qn", num, den))
+        .where(_can_meet("n", "pos", "m", "place", num, den, k))
         .groupBy(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b"))
         .agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= k)
