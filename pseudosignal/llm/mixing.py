@@ -22,6 +22,8 @@ MAX_REPEATS = 3
 # Rows of all sources to one key range.
 ROWS_PER_RANGE = 20_000
 SEED = "mix"
+# Sources, a row of about 200 bytes each, that are broadcast; beyond, they are joined.
+MAX_BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -135,9 +137,13 @@ def _cuts(sized: DataFrame, weights: tuple) -> DataFrame:
             "cut_rows",
         )
     )
-    return targets.join(at_end, "s", "left").select(
+    cuts = targets.join(at_end, "s", "left").select(
         "s", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_rows"
     )
+    cuts = stored(cuts, "mixing-cuts")
+    # One source may have any share of the rows, so they are not dealt out by source,
+    # unless there are too many sources to broadcast.
+    return F.broadcast(cuts) if cuts.count() <= MAX_BROADCAST_SOURCES else cuts
 
 
 def _last_epoch(size: Column, key: Column) -> Column:
