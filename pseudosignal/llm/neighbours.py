@@ -23,15 +23,17 @@ from pseudosignal.llm.embedding_dedup import usable
 
 # Rows on which the graph, the parts and the classifier are fitted, at most.
 SAMPLE_ROWS = 4096
-# The number of parts: one for so many rows, within these bounds.
-PART_ROWS, MIN_PARTS, MAX_PARTS = 2048, 1, 32
+# The number of parts: one for so many rows, within these bounds. It does not grow with large
+# tables: every part that is probed returns k rows to a query.
+PART_ROWS, MIN_PARTS, MAX_PARTS = 512, 1, 16
 GRAPH_NEIGHBOURS = 16
 SLACK = 1.05  # a part's size over the mean
 ROUNDS, STEPS = 30, 300
 # Recall that routing must reach on the sample.
 SAMPLE_RECALL = 0.95
 K = 20
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
+QUERY_ROWS = 4096
 QUERY_EVERY = 20
 
 
@@ -239,7 +241,7 @@ def nearest(
     asked = routed.where(F.col("vec_id") % every == 0).select(
         "vec_id", "v", F.explode(F.slice(filled, F.lit(1), enough)).alias("part")
     )
-    n_queries = max(1, -(-routed.where(F.col("vec_id") % every == 0).count() // block_rows))
+    n_queries = max(1, -(-routed.where(F.col("vec_id") % every == 0).count() // QUERY_ROWS))
     queries = asked.select(
         "vec_id",
         "v",

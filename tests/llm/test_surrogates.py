@@ -80,8 +80,9 @@ def test_same_entity_same_surrogate_and_key_matters(replaced):
 def test_distinct_entities_stay_distinct(replaced):
     texts = [f"10.0.{i // 250}.{i % 250} u{i}@d{i % 7}.org (555) 555-{1000 + i}" for i in range(1500)]
     texts += [f"Mr A{chr(97 + i % 26)}{chr(97 + i // 26)} B{chr(97 + i % 23)}" for i in range(500)]
+    every = [x for found in replaced(texts).values() for x in found]
     for kind in ("ip", "email", "phone", "name"):
-        pairs = {(e, s) for found in replaced(texts).values() for k, e, s in found if k == kind}
+        pairs = {(e, s) for k, e, s in every if k == kind}
         assert len(pairs) >= 500
         assert len({e for e, _ in pairs}) == len({s for _, s in pairs}) == len(pairs)
 

@@ -135,8 +135,8 @@ def test_nearest_with_few_candidates_or_none(table_of):
 
 
 def test_recall_of_routing(table_of, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART_ROWS", 200)
-    rows = vectors(4, 2000, 40, 20)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    rows = vectors(4, 1000, 20, 20)
     want, found = exact_nearest(rows, 20), {}
     for r in neighbours.nearest(table_of(rows)).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
