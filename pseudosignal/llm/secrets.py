@@ -40,34 +40,36 @@ NO_SPANS = "array<struct<start:bigint,end:bigint>>"
 _NO_MARKS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
-def placed(text: Column, pattern: str, good) -> Column:
-    """Spans (code points, end exclusive) of the leftmost matches of a pattern, of those for which
-    good(match number) holds. The text between matches gives their places."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def let(value: Column, body) -> Column:
+    """body(value), the value worked out once. Inside a lambda an expression is worked out anew at
+    every mention, for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(F.element_at(found, i))
+def placed(text: Column, pattern: str, good: Column | None = None) -> Column:
+    """Spans (code points, end exclusive) of the leftmost matches of a pattern; of those only for
+    which the array ``good`` holds, if given. The text between matches gives their places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    parts = [F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("size")]
+    if good is not None:
+        parts.append(good.alias("good"))
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["gap"]
+        # Behind the last gap there is no match.
+        end = start + F.coalesce(x["size"], F.lit(0))
+        kept = x["size"].isNotNull() if good is None else x["good"]
         span = F.struct(start.alias("start"), end.alias("end"))
         return F.struct(
             end.alias("at"),
-            F.when(good(i), F.concat(state["out"], F.array(span)))
-            .otherwise(state["out"])
-            .alias("out"),
+            F.when(kept, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
         )
 
     none = F.struct(
         F.lit(0).cast("bigint").alias("at"), F.array().cast(NO_SPANS).alias("out")
     )
-    every = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(every, none, step, lambda state: state["out"])
-
-
-def always(_: Column) -> Column:
-    return F.lit(True)
+    return F.aggregate(F.arrays_zip(*parts), none, step, lambda state: state["out"])
 
 
 def when_there(there: Column, spans: Column) -> Column:
@@ -80,10 +82,10 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {
         "assign": when_there(
             text.rlike(ASSIGN_WORDS),
-            placed(text, ASSIGN, lambda i: F.length(F.element_at(values, i)) >= MIN_ASSIGNED),
+            placed(text, ASSIGN, F.transform(values, lambda v: F.length(v) >= MIN_ASSIGNED)),
         ),
-        "access": when_there(text.contains("AKIA"), placed(text, ACCESS, always)),
-        "hex": when_there(text.rlike(HEX), placed(text, HEX, always)),
+        "access": when_there(text.contains("AKIA"), placed(text, ACCESS)),
+        "hex": when_there(text.rlike(HEX), placed(text, HEX)),
     }
 
 
@@ -167,15 +169,14 @@ def _weight_array(weights: dict[int, int]) -> Column:
 
 def log_ratio(token: Column, weights: dict[int, int]) -> Column:
     """Log-likelihood ratio of random over ordinary, in thousandths of a nat."""
-    letters = F.split(token, "")
     table_ = _weight_array(weights)
-    return F.aggregate(
-        F.sequence(F.lit(2), F.size(letters)),
-        F.lit(0).cast("bigint"),
-        lambda total, i: total
-        + F.element_at(
-            table_,
-            F.ascii(F.element_at(letters, i - 1)) * 128 + F.ascii(F.element_at(letters, i)) + 1,
+    return let(
+        F.transform(F.split(token, ""), F.ascii),
+        lambda codes: F.aggregate(
+            F.sequence(F.lit(2), F.size(codes)),
+            F.lit(0).cast("bigint"),
+            lambda total, i: total
+            + F.element_at(table_, F.element_at(codes, i - 1) * 128 + F.element_at(codes, i) + 1),
         ),
     )
 
@@ -183,7 +184,7 @@ def log_ratio(token: Column, weights: dict[int, int]) -> Column:
 def _random_spans(text: Column, weights: dict[int, int], threshold: int) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     high = F.transform(tokens, lambda t: log_ratio(t, weights) >= threshold)
-    spans = placed(text, TOKEN, lambda i: F.element_at(high, i))
+    spans = placed(text, TOKEN, high)
     return when_there(F.exists(tokens, lambda t: log_ratio(t, weights) >= threshold), spans)
 
 
@@ -221,11 +222,13 @@ def _scanned(docs: DataFrame, weights: dict[int, int], threshold: int) -> DataFr
         *[column.alias(kind) for kind, column in base_spans(text).items()],
         _random_spans(text, weights, threshold).alias("judged"),
     )
-    base = F.concat("assign", "access", "hex")
     # What a pattern has found already is not reported again.
-    new = F.filter(
-        "judged",
-        lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    new = let(
+        F.concat("assign", "access", "hex"),
+        lambda base: F.filter(
+            "judged",
+            lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+        ),
     )
     return found.select("row", "text", "assign", "access", "hex", new.alias("random"))
 

@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pseudosignal.llm.common import table
-from pseudosignal.llm.secrets import NO_SPANS, always, placed, when_there
+from pseudosignal.llm.common import stored, table
+from pseudosignal.llm.secrets import NO_SPANS, let, placed, when_there
 
 # The key of the registered query. Callers bring their own.
 QUERY_KEY = "surrogates of the sample query"
@@ -78,8 +78,13 @@ def _luhn(digits: Column) -> Column:
 
 def _luhn_holds(entity: Column) -> Column:
     digits = F.transform(F.split(F.regexp_replace(entity, "[^0-9]", ""), ""), _digit)
-    n = F.size(digits)
-    return _luhn(F.slice(digits, F.lit(1), n - 1)) == F.element_at(digits, n)
+    return let(
+        F.struct(
+            F.slice(digits, F.lit(1), F.size(digits) - 1).alias("body"),
+            F.element_at(digits, -1).alias("check"),
+        ),
+        lambda d: _luhn(d["body"]) == d["check"],
+    )
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -90,34 +95,43 @@ def _byte(digest: Column, i: Column) -> Column:
 def _feistel(codes: Column, sizes: Column, key: str, kind: str) -> Column:
     """A keyed permutation of arrays of small numbers. sizes[i] is how many values place i has;
     each half in turn is shifted, place by place, by a digest of the other half."""
-    n = F.size(codes)
-    half = (n / 2).cast("int")
 
-    def step(state: Column, r: Column) -> Column:
-        odd = r % 2 == 1
-        fixed = F.when(odd, F.slice(state, F.lit(1), half)).otherwise(
-            F.slice(state, half + 1, n - half)
-        )
-        digest = F.sha2(
-            F.concat_ws(
-                "|", F.lit(key), F.lit(kind), r, F.array_join(sizes, ","), F.array_join(fixed, ",")
-            ),
-            256,
-        )
-        return F.transform(
-            state,
-            lambda c, i: F.when(
-                odd == (i >= half),
-                (c + _byte(digest, i)) % F.element_at(sizes, i + 1),
-            ).otherwise(c),
-        )
+    def permuted(given: Column) -> Column:
+        sizes = given["sizes"]
+        n = F.size(sizes)
+        half = (n / 2).cast("int")
 
-    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), codes, step)
+        def step(state: Column, r: Column) -> Column:
+            odd = r % 2 == 1
+            fixed = F.when(odd, F.slice(state, F.lit(1), half)).otherwise(
+                F.slice(state, half + 1, n - half)
+            )
+            parts = (F.lit(key), F.lit(kind), r, given["frame"], F.array_join(fixed, ","))
+            return let(
+                F.sha2(F.concat_ws("|", *parts), 256),
+                lambda digest: F.transform(
+                    state,
+                    lambda c, i: F.when(
+                        odd == (i >= half), (c + _byte(digest, i)) % F.element_at(sizes, i + 1)
+                    ).otherwise(c),
+                ),
+            )
+
+        return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), given["codes"], step)
+
+    return let(
+        F.struct(
+            codes.alias("codes"), sizes.alias("sizes"), F.array_join(sizes, ",").alias("frame")
+        ),
+        permuted,
+    )
 
 
 def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """Digits (array of int), permuted among those of the same number."""
-    return _feistel(digits, F.transform(digits, lambda _: F.lit(10)), key, kind)
+    return let(
+        digits, lambda d: _feistel(d, F.transform(d, lambda _: F.lit(10)), key, kind)
+    )
 
 
 def _refilled(entity: Column, digits: Column) -> Column:
@@ -125,15 +139,18 @@ def _refilled(entity: Column, digits: Column) -> Column:
     chars = F.split(entity, "")
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        new = F.when(is_digit, F.element_at(digits, state["used"] + 1).cast("string")).otherwise(c)
-        return F.struct(
-            (state["used"] + is_digit.cast("int")).alias("used"),
-            F.concat(state["out"], F.array(new)).alias("out"),
-        )
+    def filled(new: Column) -> Column:
+        def step(state: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            put = F.when(is_digit, F.element_at(new, state["used"] + 1).cast("string")).otherwise(c)
+            return F.struct(
+                (state["used"] + is_digit.cast("int")).alias("used"),
+                F.concat(state["out"], F.array(put)).alias("out"),
+            )
+
+        return F.aggregate(chars, start, step, lambda s: F.array_join(s["out"], ""))
 
-    return F.aggregate(chars, start, step, lambda s: F.array_join(s["out"], ""))
+    return let(digits, filled)
 
 
 def _digits(entity: Column) -> Column:
@@ -156,20 +173,17 @@ def _phone(entity: Column, key: str) -> Column:
 
 def _card(entity: Column, key: str) -> Column:
     """The body is permuted, the check digit computed."""
-    digits = _digits(entity)
-    body = _permuted_digits(F.slice(digits, F.lit(1), F.size(digits) - 1), key, "card")
-    return _refilled(entity, F.concat(body, F.array(_luhn(body))))
+    body = let(_digits(entity), lambda d: F.slice(d, F.lit(1), F.size(d) - 1))
+    digits = let(
+        _permuted_digits(body, key, "card"), lambda b: F.concat(b, F.array(_luhn(b)))
+    )
+    return _refilled(entity, digits)
 
 
 def _ip(entity: Column, key: str) -> Column:
     octets = F.transform(F.split(entity, r"\."), lambda o: o.cast("int"))
-    return F.array_join(
-        F.transform(
-            _feistel(octets, F.transform(octets, lambda _: F.lit(256)), key, "ip"),
-            lambda o: o.cast("string"),
-        ),
-        ".",
-    )
+    moved = let(octets, lambda o: _feistel(o, F.transform(o, lambda _: F.lit(256)), key, "ip"))
+    return F.array_join(F.transform(moved, lambda o: o.cast("string")), ".")
 
 
 def _same_class(text: Column, key: str, kind: str) -> Column:
@@ -243,13 +257,10 @@ _ENDINGS = {
 
 
 def _spelled(digest: Column, first: int, count: int, script: str) -> Column:
-    syllables = F.array(*[F.lit(s) for s in _SYLLABLES[script].split()])
-    return F.concat(
-        *[
-            F.element_at(syllables, _byte(digest, F.lit(first + i)) % 32 + 1)
-            for i in range(count)
-        ]
-    )
+    syllables = F.split(F.lit(_SYLLABLES[script]), " ")
+    places = F.sequence(F.lit(first), F.lit(first + count - 1))
+    spelled = F.transform(places, lambda i: F.element_at(syllables, _byte(digest, i) % 32 + 1))
+    return F.array_join(spelled, "")
 
 
 def _name(entity: Column, key: str, attempt: int) -> Column:
@@ -258,13 +269,13 @@ def _name(entity: Column, key: str, attempt: int) -> Column:
     title = F.substring_index(entity, " ", 1)
     own = F.substring(entity, F.length(title) + 2, F.length(entity))
     male = title.rlike(f"^{_MALE}$")
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), F.lit(attempt), own), 256)
+    whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), F.lit(attempt), own), 256)
     two = own.contains(" ")
 
-    def made(script: str) -> Column:
+    def made(script: str, digest: Column) -> Column:
         ends = {
             g: F.element_at(
-                F.array(*[F.lit(e) for e in _ENDINGS[script, g].split()]),
+                F.split(F.lit(_ENDINGS[script, g]), " "),
                 _byte(digest, F.lit(15)) % 4 + 1,
             )
             for g in (True, False)
@@ -275,18 +286,19 @@ def _name(entity: Column, key: str, attempt: int) -> Column:
         family = F.initcap(_spelled(digest, 5, 10, script))
         return F.when(two, F.concat_ws(" ", given, family)).otherwise(long)
 
-    script = (
-        F.when(own.rlike(r"^\p{IsCyrillic}"), made("Cyrillic"))
-        .when(own.rlike(r"^\p{IsGreek}"), made("Greek"))
-        .otherwise(made("Latin"))
+    new = let(
+        whole,
+        lambda digest: F.when(own.rlike(r"^\p{IsCyrillic}"), made("Cyrillic", digest))
+        .when(own.rlike(r"^\p{IsGreek}"), made("Greek", digest))
+        .otherwise(made("Latin", digest)),
     )
-    return F.concat_ws(" ", title, script)
+    return F.concat_ws(" ", title, new)
 
 
 def _found(text: Column) -> dict[str, Column]:
     spans = {}
     for kind in KINDS:
-        found = placed(text, PATTERNS[kind], always)
+        found = placed(text, PATTERNS[kind])
         if kind == "card":
             # Long numbers are cards only if their check digit is right.
             found = F.filter(found, lambda s: _luhn_holds(_part(text, s)))
@@ -334,9 +346,12 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def _free(spans: Column, before: Column) -> Column:
-    return F.filter(
-        spans,
-        lambda s: ~F.exists(before, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+    return let(
+        before,
+        lambda taken: F.filter(
+            spans,
+            lambda s: ~F.exists(taken, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+        ),
     )
 
 
@@ -356,13 +371,16 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int = 0) -> Colum
 
 
 def _settled_attempt(found: DataFrame, key: str) -> int:
-    """The first attempt in which no two names get one surrogate, and none gets another's name."""
-    names = (
-        found.where(F.exists("entities", lambda e: e["kind"] == KINDS.index("name")))
-        .select(F.explode("entities").alias("e"))
-        .where(F.col("e.kind") == KINDS.index("name"))
-        .select(F.col("e.entity").alias("entity"))
-        .distinct()
+    """The first attempt in which no two names get one surrogate, and none gets another's name.
+
+    Looks at all names in the texts, also at those inside of other entities; they are
+    searched for once and written, then each attempt reads the distinct names only.
+    """
+    text = F.col("text")
+    every = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
+    names = stored(
+        found.where(_THERE["name"](text)).select(F.explode(every).alias("entity")).distinct(),
+        "surrogate-names",
     )
     for attempt in range(ATTEMPTS):
         made = names.select("entity", _name(F.col("entity"), key, attempt).alias("made"))
