@@ -12,6 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows per Arrow batch. Documents can be very long, so batches are small.
 BATCH_ROWS = 200
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few rows per Arrow batch."""
+    """Bound the memory of Python workers: few rows and bytes per Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -28,6 +28,8 @@ UNDETERMINED = "und"
 FOLDS, HELD_OUT_FOLD = 4, 2
 # n-gram vectors that a worker remembers: 32 MiB of signs.
 REMEMBERED = 32_768
+# n-gram vectors that are weighed at once: 8 MiB of floats.
+WEIGHED = 2048
 # Code points of one step over a very long text.
 CHUNK = 1 << 20
 
@@ -57,7 +59,7 @@ class Profiles:
 
     def __init__(self, n: int, dimensions: int, seed: int) -> None:
         self.n, self.dimensions, self.seed = n, dimensions, seed
-        self.vectors = np.empty((REMEMBERED, dimensions), np.float32)
+        self.vectors = np.empty((REMEMBERED, dimensions), np.int8)
         self.known: dict[int, int] = {}
 
     def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +98,8 @@ class Profiles:
     def bundle(self, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
         total = np.zeros(self.dimensions, np.float64)
         # Never more at once than is remembered, whatever the script.
-        for start in range(0, len(grams), REMEMBERED // 4):
-            some = grams[start : start + REMEMBERED // 4].tolist()
+        for start in range(0, len(grams), WEIGHED):
+            some = grams[start : start + WEIGHED].tolist()
             known = self.known
             if len(known) + len(some) > REMEMBERED:
                 known.clear()
@@ -106,8 +108,8 @@ class Profiles:
                     self.vectors[len(known)] = self._bound(gram)
                     known[gram] = len(known)
             rows = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
-            part = weights[start : start + REMEMBERED // 4].astype(np.float32)
-            total += part @ self.vectors[rows]
+            part = weights[start : start + WEIGHED].astype(np.float32)
+            total += part @ self.vectors[rows].astype(np.float32)
         return total
 
 
@@ -256,9 +258,10 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are in some language: undetermined ones go. Columns stay as they are."""
     langs, prototypes = learn(learning_rows(docs))
-    wrapped = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kept = identify(wrapped, langs, prototypes).where(F.col("lang_pred") != UNDETERMINED)
-    return kept.select("row.*")
+    # Plain names, so that no column clashes with those of the result; each text travels once.
+    plain = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    kept = identify(docs.toDF(*plain), langs, prototypes).where(F.col("lang_pred") != UNDETERMINED)
+    return kept.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
