@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pseudosignal.llm import embedding_dedup, fixity, language, mixing, neighbours, ngram_join, packing, secrets, surrogates, toxicity
+from pseudosignal.llm import (
+    embedding_dedup,
+    fingerprints,
+    fixity,
+    language,
+    manifest,
+    mixing,
+    neighbours,
+    ngram_join,
+    packing,
+    secrets,
+    surrogates,
+    toxicity,
+    vector_codes,
+)
 from pseudosignal.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -18,4 +32,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language.op9_language_id,
     "op10_power_of_two_packing": packing.op10_power_of_two_packing,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_document_fingerprints": fingerprints.op12_document_fingerprints,
+    "op13_dataset_manifest": manifest.op13_dataset_manifest,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,3 +162,32 @@ def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     sure = maybe_in(df, column, filled, keep=False)
     rest = maybe_in(df, column, filled).join(ids, column, "left_anti").select(*df.columns)
     return sure.unionByName(rest)
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Small Arrow batches for the jobs that run inside; the session's own settings come back."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {name: spark.conf.get(name) for name in names}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Like ``stored``, and the folder, for ``discard`` once nothing reads it any more."""
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of intermediate results, in whatever store they lie."""
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

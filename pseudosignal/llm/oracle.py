@@ -117,9 +117,117 @@ FROM records a FULL JOIN replica b ON a.file = b.file AND a."offset" = b."offset
 WHERE a.digest IS DISTINCT FROM b.digest
 """
 
+def manifest_sql(source: str = "documents", depth: int = 8, fanout: int = 8) -> str:
+    """Leaves, proofs and folded roots, level by level; ``depth`` levels bound a language's rows
+    by fanout to that power."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def one(name: str) -> str:
+        return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+    def tree(name: str, leaves: str, levels: int) -> str:
+        """CTEs name_0.. with (k, i, n, h) and, above the first, the list c of a node's children."""
+        out = [f"{name}_0 AS MATERIALIZED (SELECT k, i, n, h FROM {leaves})"]
+        for level in range(levels):
+            out.append(
+                f"{name}_{level + 1} AS MATERIALIZED (SELECT k, i // {fanout} AS i,"
+                f" (any_value(n) + {fanout - 1}) // {fanout} AS n,"
+                f" sha256(string_agg(h, '' ORDER BY i)) AS h, list(h ORDER BY i) AS c"
+                f" FROM {name}_{level} WHERE n > 1 GROUP BY k, i // {fanout})"
+            )
+        tops = " UNION ALL ".join(
+            f"SELECT k, h FROM {name}_{level} WHERE n = 1" for level in range(levels + 1)
+        )
+        return ", ".join([*out, f"{name}_top AS MATERIALIZED ({tops})"])
+
+    def joins(name: str, levels: int, key: str, place: str) -> str:
+        return " ".join(
+            f"LEFT JOIN {name}_{level + 1} {name}{level} ON {name}{level}.k = {key}"
+            f" AND {name}{level}.i = {place} // {fanout ** (level + 1)}"
+            for level in range(levels)
+        )
+
+    def steps(name: str, levels: int, place: str) -> str:
+        each = ", ".join(
+            f"CASE WHEN {name}{level}.c IS NOT NULL THEN {{'l': array_to_string({name}{level}.c["
+            f"1:({place} // {fanout ** level}) % {fanout}], ''), 'r': array_to_string({name}{level}.c["
+            f"({place} // {fanout ** level}) % {fanout} + 2:], '')}} END"
+            for level in range(levels)
+        )
+        return f"[x FOR x IN [{each}] IF x IS NOT NULL]"
+
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN"
+        " string_split(CAST(doc_id AS VARCHAR), '')]), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0,"
+        " 0, 0, 0, 0], lambda b, y: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+    )
+    fields = " || ".join(one(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    upper = 3
+    return f"""
+WITH leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, sha256({fields} || {one("text")}) AS h,
+    CASE WHEN coalesce({crc} % 3 = 0, false) THEN sha256({fields} || {one(low)})
+      ELSE sha256({fields} || {one("text")}) END AS seen FROM {source}
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+    count(*) OVER (PARTITION BY k) AS n FROM leaves
+), {tree("l", "placed", depth)}, groups AS MATERIALIZED (
+  SELECT '' AS k, k AS g, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM l_top
+), {tree("g", "groups", upper)}, found AS (
+  SELECT p.doc_id, p.h AS leaf, p.seen, groups.h AS subroot, g_top.h AS root, list_concat(
+    {steps("l", depth, "p.i")}, {steps("g", upper, "groups.i")}) AS path
+  FROM placed p JOIN groups ON groups.g = p.k CROSS JOIN g_top
+  {joins("l", depth, "p.k", "p.i")} {joins("g", upper, "''", "groups.i")}
+), folded AS (
+  SELECT *, list_reduce(list_prepend({{'l': '', 'r': '', 'h': seen}}, [{{'l': x.l, 'r': x.r, 'h': ''}}
+    FOR x IN path]), lambda a, x: {{'l': '', 'r': '', 'h': sha256(x.l || a.h || x.r)}}).h AS folded_root FROM found
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x.l || x.r FOR x IN path], '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+def vector_codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Codebooks and codes by measuring every distance. Sums of integers are exact in doubles."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"codes_{r} AS MATERIALIZED (SELECT id, p, x, arg_min(j, (d, j)) AS j, min(d) AS d FROM"
+            f" (SELECT s.id, s.p, s.x, b.j, list_inner_product(s.x, s.x) - 2 * list_inner_product(s.x, b.c)"
+            f" + list_inner_product(b.c, b.c) AS d FROM split s JOIN book_{r} b ON s.p = b.p) GROUP BY id, p, x)"
+        )
+        if r < rounds:
+            steps.append(
+                f"book_{r + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.c, b.c) AS c FROM book_{r} b LEFT JOIN"
+                f" (SELECT p, j, list(mean ORDER BY place) AS c FROM (SELECT p, j, place, floor(sum(v) / count(*)) AS mean"
+                f" FROM (SELECT p, j, unnest(x) AS v, unnest(range(len(x))) AS place FROM codes_{r}) GROUP BY p, j, place)"
+                f" GROUP BY p, j) m ON m.p = b.p AND m.j = b.j)"
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), split AS MATERIALIZED (
+  SELECT id, vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+  FROM kept CROSS JOIN range({parts}) t(p)
+), book_0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS c FROM split
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+), {", ".join(steps)}, coded AS (
+  SELECT id, string_agg(format('{{:02x}}', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM codes_{rounds} GROUP BY id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string([CAST(CAST(y AS BIGINT) AS VARCHAR) FOR y IN c], ','), ',' ORDER BY p, j))
+    FROM book_{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (id)
+"""
+
+
 ORACLE = {
     "op1_warc_fixity": FIXITY,
     "op2_ngram_jaccard_join": jaccard_sql(),
     "op5_embedding_dedup": NEAR_VECTORS,
     "op4_source_mixing": mixing_sql(),
+    "op11_vector_codes": vector_codes_sql(),
+    "op13_dataset_manifest": manifest_sql(),
 }
