@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,20 @@ from pseudosignal.sources import (
     conform,
     decode_transactions,
     read_lines,
+    read_signals,
     shared_folder,
+    write_signals,
 )
 from pseudosignal.sources.sinks import checkpointed
+from pseudosignal.streaming import admission as admitting
 from pseudosignal.streaming import ingest as stream
+from pseudosignal.streaming import rollup as windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEY = ("tx_id",)
 MAX_DEPTH = 500
+NOW = {"availableNow": True}
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +319,93 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.read_rollup(spark, _run_stream(spark, sf_dir))
 
 
+def _file_stream(spark: SparkSession, parts: list[DataFrame], purpose: str) -> DataFrame:
+    """The parts as a stream of files, one a batch, in this order."""
+    folder = shared_folder(spark, purpose)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream_of = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1)
+    return stream_of.parquet(folder)
+
+
+def _with_day_text(table: DataFrame) -> DataFrame:
+    return table.withColumn("bucket_date", F.col("bucket_date").cast("string"))
+
+
+def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written by two runs, one of which first wrote other rows and was repeated."""
+    path = shared_folder(spark, "signals")
+    code = F.when(F.col("institution_id") == "BNK_0", "007").otherwise(F.col("institution_id"))
+    signals = checkpointed(_signals(spark, sf_dir).withColumn("institution_id", code))
+    even = F.col("tx_id") % 2 == 0
+    wrong = signals.where(~even).withColumn("timestamp", F.lit("1999-01-01T00:00:00Z"))
+    write_signals(wrong, path, run="odd", period="year")
+    write_signals(signals.where(even), path, run="even", period="year")
+    write_signals(signals.where(~even), path, run="odd", period="year")
+    return _with_day_text(ps.flat(read_signals(spark, path)))
+
+
+def signal_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The durable sink, stopped after its first batches and started again."""
+    signals = checkpointed(_signals(spark, sf_dir)).drop("tx_id")
+    place = F.pmod(F.xxhash64("identity_mosaic", "timestamp"), F.lit(4))
+    parts = [signals.where(place == n) for n in range(4)]
+    source = _file_stream(spark, parts, "sink-in")
+    path = shared_folder(spark, "sink")
+    places = (source, path, f"{path}-checkpoint")
+    first = stream.start_signal_sink(*places, {"processingTime": "0 seconds"}, "year")
+    while first.isActive and not first.recentProgress:
+        first.awaitTermination(1)
+    first.stop()
+    stream.start_signal_sink(*places, NOW, "year").awaitTermination()
+    return _with_day_text(ps.flat(read_signals(spark, path)))
+
+
+def stream_windowed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a stream out of order, and what came too late for them, added up."""
+    signals = checkpointed(_signals(spark, sf_dir)).drop("tx_id")
+    place = F.pmod(F.xxhash64("identity_mosaic", "timestamp"), F.lit(4))
+    source = _file_stream(spark, [signals.where(place == n) for n in range(4)], "windows-in")
+    out = shared_folder(spark, "windows")
+    windows.start_windowed_rollup(
+        source, out, f"{out}-checkpoint", delay=timedelta(days=365), trigger=NOW
+    ).awaitTermination()
+    bucket = utc_text(F.unix_seconds("window_start")).alias("bucket")
+    timed = windows.read_windows(spark, out).withColumn("bucket", bucket)
+    late = metrics.signal_rollup(windows.read_aside(spark, out))
+    return (
+        timed.select(*late.columns)
+        .unionByName(late)
+        .groupBy(*metrics.ROLLUP_KEYS)
+        .agg(
+            F.sum("signals").alias("signals"),
+            F.sum("near_threshold_signals").alias("near_threshold_signals"),
+        )
+    )
+
+
+def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals in three batches, judged with the depth that the batch before left."""
+    state = checkpointed(_state(spark, sf_dir))
+    arrivals = state.where("attempts = 0").select(
+        "signal_id", "institution_id", "seq", "enqueued_at"
+    )
+    second = F.pmod(F.unix_seconds("enqueued_at"), F.lit(3000))
+    parts = [arrivals.where((second >= n * 1000) & (second < n * 1000 + 1000)) for n in (2, 0, 1)]
+    out = shared_folder(spark, "admission")
+    admitting.start_admission(
+        _file_stream(spark, parts, "arrivals"),
+        out,
+        f"{out}-checkpoint",
+        metrics.backlog_depth(state.where("attempts > 0")),
+        MAX_DEPTH,
+        NOW,
+    ).awaitTermination()
+    return admitting.read_verdicts(spark, out).select(
+        "signal_id", "institution_id", "admitted", "reject_reason"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "raw_transactions": raw_transactions,
     "decode_transactions": decode_lines,
@@ -353,4 +446,8 @@ QUERIES: dict[str, Query] = {
     "stream_signals": stream_signals,
     "stream_rejects": stream_rejects,
     "stream_rollup": stream_rollup,
+    "stream_windowed_rollup": stream_windowed_rollup,
+    "stream_admission": stream_admission,
+    "signal_table": signal_table,
+    "signal_sink": signal_sink,
 }

@@ -206,6 +206,8 @@ _SIGNAL_COLUMNS = (
     " meta_is_near_threshold, meta_location_zone"
 )
 
+_BUCKET_DATE = """CASE WHEN "timestamp" <> 'TIME_UNKNOWN' THEN "timestamp"[1:4] || '-01-01' END"""
+
 _WIRE = """
 wire AS (
   SELECT *, '{"institution_id":"' || institution_id || '","signal_type":"' || signal_type
@@ -498,4 +500,16 @@ ORACLE: dict[str, str] = {
         " WHERE reject_field IS NOT NULL"
     ),
     "stream_rollup": _lines(_rollup()),
+    "stream_windowed_rollup": _derived(_rollup()),
+    "stream_admission": _delivery(
+        "SELECT signal_id, institution_id, admitted,"
+        " CASE WHEN NOT admitted THEN 'spool_full' END AS reject_reason FROM admission"
+    ),
+    "signal_table": _derived(
+        f"SELECT * EXCLUDE (tx_id) REPLACE (CASE institution_id WHEN 'BNK_0' THEN '007' ELSE institution_id"
+        f" END AS institution_id) FROM (SELECT {_SIGNAL_COLUMNS}, {_BUCKET_DATE} AS bucket_date FROM sig)"
+    ),
+    "signal_sink": _derived(
+        f"SELECT * EXCLUDE (tx_id) FROM (SELECT {_SIGNAL_COLUMNS}, {_BUCKET_DATE} AS bucket_date FROM sig)"
+    ),
 }

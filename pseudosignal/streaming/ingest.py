@@ -1,9 +1,7 @@
-"""Streaming ingest: the batch pipeline on a stream, with replayable outputs."""
+"""Streaming ingest: the batch pipeline on a stream, with outputs that appear batch by batch."""
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,17 +10,16 @@ from pseudosignal.operators.keys import KeyRing
 from pseudosignal.operators.metrics import ROLLUP_KEYS, signal_rollup
 from pseudosignal.operators.signals import accepted, judge, outcomes_of, refused
 from pseudosignal.sources.json_lines import decode_transactions
+from pseudosignal.sources.sinks import with_bucket_date
+from pseudosignal.streaming.commits import EVERY_MINUTE, Batch, read_committed, start_committed
 
 SIGNALS = "signals"
 QUARANTINE = "quarantine"
 ROLLUP = "rollup"
+COUNTERS = "counters"
 OBSERVED = "ingest"
 
 
-def _batch_path(out: str, table: str, query_id: str, batch_id: int) -> str:
-    return f"{out.rstrip('/')}/{table}/query_id={query_id}/batch_id={batch_id}"
-
-
 def start_ingest(
     transactions: DataFrame,
     ring: KeyRing,
@@ -34,14 +31,13 @@ def start_ingest(
 ) -> StreamingQuery:
     """Pseudonymise a stream of transactions into a signal table and a quarantine table.
 
-    Every micro-batch overwrites its own folder, so a batch that is repeated after a
-    failure replaces what it wrote before: each transaction counts once. The folder
-    names the query, which is that of the checkpoint, so a query with a new checkpoint
-    adds to the output and never replaces it. Nothing is dropped as late, the job keeps
-    no state.
+    The tables of a micro-batch appear together, when all are written; a batch that is repeated
+    after a failure counts once (see ``commits``). Nothing is dropped as late, the job keeps no
+    state. A query with a new checkpoint adds to the output: old input read anew counts again.
 
-    ``rollup`` also writes each batch's own signal rollup; these add up. The counts of valid
-    and rejected transactions are observed metrics of the query progress.
+    ``rollup`` also writes each batch's own signal rollup; these add up, as do the counters
+    (transactions, signals and rejects by institution) of the committed batches. The counts of
+    valid and rejected transactions are observed metrics of the query progress as well.
     """
     outcomes = outcomes_of(judge(transactions, ring), keep).observe(
         OBSERVED,
@@ -49,35 +45,28 @@ def start_ingest(
         F.count(F.col("reject_field")).alias("rejected"),
     )
 
-    started, names = threading.Event(), {}
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        started.wait()
-        own = (names["query"], batch_id)
-        # Two or three outputs, one decoding: the outcomes stay until all are written.
-        held = batch.persist()
+    def job(batch: Batch) -> None:
+        # Several outputs, one decoding: the outcomes stay until all are written.
+        held = batch.rows.persist()
         try:
             signals = accepted(held, keep)
-            signals.write.mode("overwrite").parquet(_batch_path(out, SIGNALS, *own))
-            refused(held, keep).write.mode("overwrite").parquet(
-                _batch_path(out, QUARANTINE, *own)
-            )
+            batch.save(SIGNALS, signals)
+            batch.save(QUARANTINE, refused(held, keep))
+            batch.save(COUNTERS, _counted(held))
             if rollup:
-                signal_rollup(signals).write.mode("overwrite").parquet(
-                    _batch_path(out, ROLLUP, *own)
-                )
+                batch.save(ROLLUP, signal_rollup(signals))
         finally:
             held.unpersist()
 
-    query = (
-        outcomes.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "1 minute"}))
-        .start()
+    return start_committed(outcomes, out, checkpoint, job, trigger)
+
+
+def _counted(outcomes: DataFrame) -> DataFrame:
+    return outcomes.groupBy("institution_id").agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.count_if(F.col("reject_field").isNull()).alias("signals_processed"),
+        F.count("reject_field").alias("rejected"),
     )
-    names["query"] = query.id
-    started.set()
-    return query
 
 
 def start_line_ingest(
@@ -88,26 +77,38 @@ def start_line_ingest(
 
 
 def start_signal_sink(
-    signals: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    signals: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    period: str = "day",
 ) -> StreamingQuery:
     """Durable queue of signals: files count once they are in the sink's commit log.
 
-    The partition columns are those of the batch sink.
+    The partition columns are those of the batch sink, and ``read_signals`` reads both: Spark
+    finds the log in the folder and opens only files that are in it, so files of a batch that
+    was cut off do not count, and a restart with the same checkpoint neither loses nor
+    repeats a row.
     """
-    dated = signals.withColumn("bucket_date", F.substring("timestamp", 1, 10).try_cast("date"))
     return (
-        dated.writeStream.format("parquet")
+        with_bucket_date(signals, period)
+        .writeStream.format("parquet")
         .partitionBy("institution_id", "bucket_date")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .trigger(**(trigger or EVERY_MINUTE))
         .start()
     )
 
 
 def read_output(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """A table that the ingest stream has written so far."""
-    return spark.read.parquet(f"{out.rstrip('/')}/{table}").drop("query_id", "batch_id")
+    """A table of the ingest stream, of all batches committed so far."""
+    return read_committed(spark, out, table)
+
+
+def _summed(df: DataFrame, *keys: str) -> DataFrame:
+    counts = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def read_rollup(spark: SparkSession, out: str) -> DataFrame:
@@ -115,11 +116,9 @@ def read_rollup(spark: SparkSession, out: str) -> DataFrame:
 
     Late signals simply add to their bucket, however old it is.
     """
-    return (
-        read_output(spark, out, ROLLUP)
-        .groupBy(*ROLLUP_KEYS)
-        .agg(
-            F.sum("signals").alias("signals"),
-            F.sum("near_threshold_signals").alias("near_threshold_signals"),
-        )
-    )
+    return _summed(read_output(spark, out, ROLLUP), *ROLLUP_KEYS)
+
+
+def read_counters(spark: SparkSession, out: str) -> DataFrame:
+    """Counters by institution over all committed batches, of this and earlier runs."""
+    return _summed(read_output(spark, out, COUNTERS), "institution_id")
