@@ -15,6 +15,7 @@ import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,8 +24,8 @@ from pseudosignal.operators import signals as ps  # noqa: E402
 from pseudosignal.operators import validate as va  # noqa: E402
 from pseudosignal.plans import sample_tables as sample  # noqa: E402
 from pseudosignal.session import tune  # noqa: E402
-from pseudosignal.sources import conform, decode_transactions  # noqa: E402
-from pseudosignal.streaming import start_line_ingest  # noqa: E402
+from pseudosignal.sources import conform, decode_transactions, write_signals  # noqa: E402
+from pseudosignal.streaming import start_line_ingest, start_windowed_rollup  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -41,6 +42,7 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-shared-"))
         .getOrCreate()
     )
 
@@ -86,6 +88,22 @@ def main() -> None:
             source, ring, out, f"{out}/checkpoint", keep=("tx_id",), trigger={"availableNow": True}
         ).awaitTermination()
 
+    def sink() -> None:
+        write_signals(signals, f"{work}/signal-table", run="bench", period="month")
+
+    parts = [f"{work}/windows-in"]
+    for n in range(4):
+        signals.where(F.pmod(F.xxhash64("identity_mosaic"), F.lit(4)) == n).coalesce(1).write.mode(
+            "append"
+        ).parquet(parts[0])
+
+    def windowed() -> None:
+        out = f"{work}/windows-{next(runs)}"
+        source = spark.readStream.schema(signals.schema).option("maxFilesPerTrigger", 2)
+        start_windowed_rollup(
+            source.parquet(parts[0]), out, f"{out}/checkpoint", trigger={"availableNow": True}
+        ).awaitTermination()
+
     jobs = {
         "ingest_signals": lambda: signals_now.write.parquet(f"{work}/signals-{next(runs)}"),
         "quarantine": lambda: drain(ps.rejects_of(ps.judge(raw, ring), ("tx_id",))),
@@ -96,6 +114,11 @@ def main() -> None:
         ),
         "pii_leak_audit": lambda: drain(audit.pii_leak_audit(raw, signals)),
         "delivery_state": lambda: drain(delivery.delivery_state(outbox, attempts)),
+        "write_signals": sink,
+        "dead_letters": lambda: drain(delivery.dead_letters(outbox, attempts)),
+        "retry_schedule": lambda: drain(delivery.retry_schedule(state)),
+        "retry_budget": lambda: drain(delivery.retry_budget(attempts)),
+        "windowed_rollup": windowed,
         "pending_backlog": lambda: drain(delivery.pending_backlog(outbox, attempts)),
         "queue_heads": lambda: drain(delivery.queue_heads(state)),
         "admission_control": admit,

@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pseudosignal.operators.membership import maybe_in
+from pseudosignal.sources.sinks import stored
+
 DELIVERED = "delivered"
 PERMANENT = "permanent"
 RETRY = "retry"
@@ -90,17 +93,25 @@ def dead_letters(outbox: DataFrame, attempts: DataFrame) -> DataFrame:
     """Signals that left the queue undelivered, with payload and reason.
 
     ``rejected`` means a permanent answer, ``unreadable`` a lost payload.
+
+    The refused ids are stored first. A bitmap of them sifts the outbox where it lies, so hardly
+    any payload but those of dead signals travels to the exact join.
     """
     totals = _attempt_totals(attempts)
-    refused = totals.where(F.col("_permanent") & ~F.col("_delivered")).select("signal_id")
-    finished = totals.where(F.col("_permanent") | F.col("_delivered")).select("signal_id")
+    finished = stored(
+        totals.where(F.col("_permanent") | F.col("_delivered")).select("signal_id", "_delivered"),
+        "finished",
+    )
+    refused = finished.where(~F.col("_delivered")).select("signal_id")
 
     def letters(dead: DataFrame, reason: str) -> DataFrame:
         return dead.select("signal_id", "institution_id", F.lit(reason).alias("reason"), "payload")
 
-    # Only dead signals are joined; the others need not travel with their payload.
-    lost = outbox.where(F.col("payload").isNull()).join(finished, "signal_id", "left_anti")
-    return letters(outbox.join(refused, "signal_id"), "rejected").unionByName(
+    likely = maybe_in(outbox, "signal_id", refused, refused.count())
+    lost = outbox.where(F.col("payload").isNull()).join(
+        finished.select("signal_id"), "signal_id", "left_anti"
+    )
+    return letters(likely.join(refused, "signal_id"), "rejected").unionByName(
         letters(lost, "unreadable")
     )
 
@@ -108,32 +119,58 @@ def dead_letters(outbox: DataFrame, attempts: DataFrame) -> DataFrame:
 def pending_backlog(outbox: DataFrame, attempts: DataFrame) -> DataFrame:
     """Undelivered signals with their payload, in submission order per institution.
 
-    The order is a range-partitioned sort on a unique key, so an institution that
-    holds most of the backlog is spread over many tasks.
+    Which signals are pending is found without payloads, and stored. A bitmap of their
+    ids then sifts the outbox where it lies; what passes and the pending keys are ordered into
+    ranges together, and a payload meets its key there. So payloads are moved once, to
+    the place where they are sorted, and an institution that holds most of the backlog
+    is spread over many tasks.
     """
     finished = (
         _attempt_totals(attempts)
         .where(F.col("_delivered") | F.col("_permanent"))
         .select("signal_id")
     )
-    pending = outbox.where(F.col("payload").isNotNull()).join(finished, "signal_id", "left_anti")
-    return pending.select("signal_id", "institution_id", "seq", "enqueued_at", "payload").orderBy(
-        "institution_id", "enqueued_at", "seq"
+    key = ["institution_id", "enqueued_at", "seq", "signal_id"]
+    pending = stored(outbox.select(*key).join(finished, "signal_id", "left_anti"), "pending")
+    payloads = maybe_in(
+        outbox.where(F.col("payload").isNotNull()).select(*key, "payload"),
+        "signal_id",
+        pending.select("signal_id"),
+        pending.count(),
+    )
+    keys = pending.select(*key, F.lit(None).cast("string").alias("payload"), F.lit(1).alias("_p"))
+    return (
+        payloads.withColumn("_p", F.lit(0))
+        .unionByName(keys)
+        .repartitionByRange(*key)
+        .groupBy(*key)
+        .agg(F.max("payload").alias("payload"), F.max("_p").alias("_p"))
+        .where((F.col("_p") == 1) & F.col("payload").isNotNull())
+        .select("signal_id", "institution_id", "seq", "enqueued_at", "payload")
+        .orderBy("institution_id", "enqueued_at", "seq", "signal_id")
     )
 
 
+# Larger than any sequence number.
+_PLACES = str(1 << 64)
+
+
 def queue_heads(state: DataFrame) -> DataFrame:
     """The one signal per institution that may be attempted next: the oldest pending one.
 
-    A minimum is combined before the shuffle; ranking the queue would move each
-    whole queue to one task.
+    Instant and sequence number make one number, whose minimum is a hash aggregate
+    that combines before the shuffle; ranking the queue would move each whole queue to one
+    task. The head itself is then one join on institution and number, which no other row shares.
     """
-    first = F.min(F.struct("enqueued_at", "seq", "signal_id", "attempts", "last_attempt_at"))
-    return (
-        state.where(F.col("state") == PENDING)
-        .groupBy("institution_id")
-        .agg(first.alias("_head"))
-        .select("institution_id", "_head.*")
+    number = "decimal(38,0)"
+    place = (
+        F.coalesce(F.unix_micros("enqueued_at"), F.lit(-(1 << 60))).cast(number)
+        * F.lit(_PLACES).cast(number)
+    ).cast(number) + F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).cast(number)
+    pending = state.where(F.col("state") == PENDING).withColumn("_place", place.cast(number))
+    first = pending.groupBy("institution_id").agg(F.min("_place").alias("_place"))
+    return pending.join(first, ["institution_id", "_place"]).select(
+        "institution_id", "enqueued_at", "seq", "signal_id", "attempts", "last_attempt_at"
     )
 
 

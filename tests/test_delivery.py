@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pseudosignal.operators import admission, delivery, metrics
+from pseudosignal.operators.membership import maybe_in
 
 T0 = datetime(2026, 1, 15, 14, 0, tzinfo=timezone.utc)
 
@@ -172,9 +173,10 @@ def test_full_queue_refuses(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_admission_equals_one_by_one_model(spark, monkeypatch, seed, bound):
+@pytest.mark.parametrize(("bound", "in_one_task"), [(100_000, 1 << 20), (0, 0)])
+def test_admission_equals_one_by_one_model(spark, monkeypatch, seed, bound, in_one_task):
     monkeypatch.setattr(admission, "MAX_BROADCAST_INSTITUTIONS", bound)
+    monkeypatch.setattr(admission, "MAX_SORTED", in_one_task)
     rng = random.Random(seed)
     sequences = rng.sample(range(2**62), 1500) + list(range(1500))
     rng.shuffle(sequences)
@@ -193,14 +195,16 @@ def test_admission_equals_one_by_one_model(spark, monkeypatch, seed, bound):
 
 
 def test_no_institution_is_ranked_in_one_task(spark, queue):
-    """Queue heads are an aggregate, and the cut looks at counts, never at rows."""
+    """Queue heads are an aggregate, and the cut is found from counts and the rows of one second."""
     state = delivery.delivery_state(*queue)
     heads = delivery.queue_heads(state)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in heads
     arrivals = state.select("signal_id", "institution_id", "seq", "enqueued_at")
-    out = admission.admission_control(arrivals, metrics.backlog_depth(state), 1)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" not in plan
+    depth = spark.createDataFrame([], "institution_id string, spool_depth bigint")
+    seconds = admission.cut_seconds(arrivals, depth, 1)
+    plan = seconds._jdf.queryExecution().optimizedPlan().toString()
+    # The windows run over stored counts by second; no arrival reaches them.
+    assert "Window" in plan and "signal_id" not in plan and "arrivals-by-second" in str(seconds.inputFiles())
 
 
 def test_attempts_are_combined_before_the_shuffle(queue):
@@ -212,3 +216,101 @@ def test_attempts_are_combined_before_the_shuffle(queue):
 def test_attempt_without_answer_is_a_null_status(spark):
     df = spark.createDataFrame([(1, None)], "signal_id bigint, status_code int")
     assert df.select(delivery.outcome_class(F.col("status_code"))).first()[0] == "retry"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def exchanges(plan):
+    return [line for line in plan.splitlines() if "Exchange " in line]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def wide_queue(spark, tmp_path, count=4000, refused_every=200):
+    """An outbox of payloads, and attempts that refuse few and deliver most."""
+    outbox = spark.range(count).selectExpr(
+        "id as signal_id", "concat('B', id % 3) as institution_id", "id as seq",
+        "timestamp_seconds(1700000000 + id * 60) as enqueued_at", "repeat(cast(id as string), 50) as payload",
+    )
+    outbox.write.parquet(str(tmp_path / "outbox"))
+    code = f"case when id % {refused_every} = 0 then 401 when id % 10 < 9 then 200 else 500 end"
+    spark.range(count).selectExpr(
+        "id as signal_id", "'B' as institution_id", "1 as attempt_no",
+        "timestamp_seconds(1700000000 + id) as attempted_at", f"{code} as status_code",
+    ).write.parquet(str(tmp_path / "attempts"))
+    return spark.read.parquet(str(tmp_path / "outbox")), spark.read.parquet(str(tmp_path / "attempts"))
+
+
+def test_sifting_loses_nothing_and_drops_most(spark):
+    ids = spark.range(0, 50_000, 7).toDF("k")
+    kept = {r["k"] for r in maybe_in(spark.range(50_000).toDF("k"), "k", ids, ids.count()).collect()}
+    wanted = set(range(0, 50_000, 7))
+    assert wanted <= kept and len(kept - wanted) < 0.12 * 43_000
+    none = spark.createDataFrame([], "k bigint")
+    assert maybe_in(ids, "k", none, 0).count() == 0
+    assert maybe_in(spark.sql("select cast(null as bigint) as k"), "k", ids, 10).count() <= 1
+
+
+def test_only_payloads_of_dead_signals_travel(spark, no_broadcast, tmp_path):
+    outbox, attempts = wide_queue(spark, tmp_path)
+    dead = delivery.dead_letters(outbox, attempts)
+    assert dead.count() == 20
+    sifted = next(x for x in exchanges(plan_of(dead)) if "hashpartitioning(signal_id" in x)
+    assert sifted
+    likely = maybe_in(outbox, "signal_id", dead.select("signal_id"), 20)
+    assert likely.count() < 0.2 * outbox.count()
+
+
+def test_backlog_moves_payloads_once(spark, no_broadcast, tmp_path):
+    outbox, attempts = wide_queue(spark, tmp_path)
+    backlog = delivery.pending_backlog(outbox, attempts)
+    rows = backlog.collect()
+    assert len(rows) == 400
+    assert rows == sorted(rows, key=lambda r: (r["institution_id"], r["enqueued_at"]))
+    assert all(r["payload"] == str(r["signal_id"]) * 50 for r in rows)
+    moved = [line for line in exchanges(plan_of(backlog)) if "Broadcast" not in line]
+    assert sum("rangepartitioning" in line for line in moved) == 1
+    # Besides that there is only the shuffle that builds the bitmap, which is without payloads.
+    assert all("_row" in line for line in moved if "rangepartitioning" not in line)
+
+
+def test_queue_heads_sort_nothing(spark, tmp_path):
+    outbox, attempts = wide_queue(spark, tmp_path)
+    heads = delivery.queue_heads(delivery.delivery_state(outbox, attempts))
+    assert {r["institution_id"]: r["signal_id"] for r in heads.collect()} == {"B0": 9, "B1": 19, "B2": 29}
+    assert "SortAggregate" not in plan_of(heads)
+
+
+def test_queue_heads_of_odd_places(spark):
+    rows = [(1, "A", 2**62, T0), (2, "A", -(2**62), T0), (3, "B", 5, datetime(1950, 1, 1)), (4, "B", 1, T0), (5, "C", None, None)]
+    state = spark.createDataFrame(
+        [(*r, "pending", 0, None) for r in rows],
+        "signal_id bigint, institution_id string, seq bigint, enqueued_at timestamp, state string, attempts bigint,"
+        " last_attempt_at timestamp",
+    )
+    heads = {r["institution_id"]: r["signal_id"] for r in delivery.queue_heads(state).collect()}
+    assert heads == {"A": 2, "B": 3, "C": 5}
+
+
+def test_second_pass_of_admission_reads_the_cut_only(spark, tmp_path):
+    outbox, _ = wide_queue(spark, tmp_path)
+    outbox.sortWithinPartitions("enqueued_at").write.option("parquet.block.size", 4096).parquet(str(tmp_path / "a"))
+    arrivals = spark.read.parquet(str(tmp_path / "a")).drop("payload")
+    depth = spark.createDataFrame([], "institution_id string, spool_depth bigint")
+    gates = admission.cut_seconds(arrivals, depth, 100).collect()
+    seconds = [r["second"] for r in gates]
+    assert max(seconds) - min(seconds) < 600 and {r["free"] for r in gates} == {1}
+    cut = spark.createDataFrame([(r["institution_id"], r["second"], r["free"]) for r in gates], "institution_id string, second bigint, free bigint")
+    found = admission.second_rows(arrivals, F.broadcast(cut), min(seconds), max(seconds))
+    assert found.count() == 3
+    plan = plan_of(found)
+    assert "GreaterThanOrEqual(enqueued_at" in plan and "LessThan(enqueued" in plan
