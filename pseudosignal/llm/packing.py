@@ -8,11 +8,12 @@ its own, no sequence crosses documents. It is a map over documents: nothing is s
 
 from __future__ import annotations
 
-import sys
-from array import array
+import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from pseudosignal.llm.common import small_batches, table
 VOCABULARY = "word_bpe_49k.json"
 MAX_LENGTH = 4096
 END_ID = 2
+# A special token of the vocabulary.
+BETWEEN = "<|endoftext|>"
 
 # Words whose ids a worker process remembers. Beyond it the memory starts anew.
 REMEMBERED_WORDS = 800_000
@@ -29,20 +32,29 @@ REMEMBERED_WORDS = 800_000
 OUTPUT_BYTES = 16 << 20
 
 PIECES = (
-    "doc_id bigint, start bigint, length bigint, tokens binary, doc_tokens bigint, bucket int"
+    "doc_id bigint, start bigint, length bigint, tokens binary, ids_crc32 bigint, "
+    "doc_tokens bigint, bucket int"
 )
 
 
+# An ASCII word without marks inside, and the marks after it.
+_MARKED = re.compile(rb"([a-z0-9]+)([^a-z0-9\x80-\xff]+)")
+# Words that are tokenized in one call.
+JOINED = 256
+
+
 class WordIds:
-    """Token ids of a text as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins across white space, so a text's ids are those of its words
     in order, and each distinct word is tokenized once. (Split at ASCII white space only:
     other separators stay inside a word and are left to the tokenizer.)
 
-    Two more savings, as the tokenizer lower-cases and never joins letters or digits with
-    punctuation: A-Z are lower-cased first, unless a special token, which is matched in the
-    text as it is, may be there; and a plain word before a final mark is looked up alone.
+    More savings, as the tokenizer lower-cases, never joins letters or digits with
+    punctuation, and treats what lies between special tokens on its own: A-Z are lower-cased
+    first, unless a special token, which is matched in the text as it is, may be there; a plain
+    word and the marks after it are looked up apart; and many new words go to the
+    tokenizer in one text, with a special token between them.
     """
 
     def __init__(self, path: str | None) -> None:
@@ -56,32 +68,43 @@ class WordIds:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
+        return self.all([text])[0]
+
+    def all(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + 2 * len(new) > REMEMBERED_WORDS:
-                known.clear()
-                new = set(words)
-            marked = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
-            new.difference_update(marked)
-            new.update(w[:-1] for w in marked)
-            new.update((b".", b","))
-            new = [w for w in new if w not in known]
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-            )
-            for word, one in zip(new, found, strict=True):
-                ids = array("I", one.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                known[word] = ids.tobytes()
-            for word in marked:
-                known[word] = known[word[:-1]] + known[word[-1:]]
-        return b"".join(map(known.__getitem__, words))
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        new = set().union(*split).difference(known)
+        if len(known) + 2 * len(new) > REMEMBERED_WORDS:
+            known.clear()
+            new = set().union(*split)
+        marked = [m for m in map(_MARKED.fullmatch, new) if m]
+        new.difference_update(m[0] for m in marked)
+        for m in marked:
+            new.update(m.groups())
+        self._learn([word for word in new if word not in known])
+        for m in marked:
+            known[m[0]] = known[m[1]] + known[m[2]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _learn(self, words: list[bytes]) -> None:
+        apart = self.between is None
+        alone = [w for w in words if apart or b"<|" in w]
+        rest = [] if apart else [w for w in words if b"<|" not in w]
+        groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
+        groups += [[w] for w in alone]
+        texts = [BETWEEN.join(w.decode("utf-8", "replace") for w in group) for group in groups]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for group, one in zip(groups, found, strict=True):
+            ids = np.array(one.ids, "<u4")
+            ends = [] if len(group) == 1 else np.flatnonzero(ids == self.between).tolist()
+            whole, start = ids.tobytes(), 0
+            for word, end in zip(group, [*ends, len(ids)], strict=True):
+                self.known[word] = whole[4 * start : 4 * end]
+                start = end + 1
 
 
 @cache
@@ -102,9 +125,11 @@ def pack(
     tokenizer_path: str | None = None,
     max_length: int = MAX_LENGTH,
     end_id: int = END_ID,
+    tokens: bool = True,
 ) -> DataFrame:
     """Pieces of every document: doc_id, start, length, tokens (little-endian unsigned 32-bit
-    ids), doc_tokens, bucket (binary logarithm of length), sequence_id, offset.
+    ids), ids_crc32 (checksum of these), doc_tokens, bucket (binary logarithm of length),
+    sequence_id, offset. With ``tokens=False`` that column is NULL: for checksums alone.
 
     ``docs`` needs doc_id and text; other columns are ignored. A NULL or empty text has the
     end id only. A NULL doc_id and repeated rows are packed like any other row. An empty
@@ -117,7 +142,7 @@ def pack(
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pieces(batches, word_ids(tokenizer_path), max_length, end_id)
+        return _pieces(batches, word_ids(tokenizer_path), max_length, end_id, tokens)
 
     pieces = slim.mapInArrow(run, PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn(
@@ -126,31 +151,36 @@ def pack(
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], ids_of: WordIds, max_length: int, end_id: int
+    batches: Iterator[pa.RecordBatch], ids_of: WordIds, max_length: int, end_id: int, tokens: bool
 ) -> Iterator[pa.RecordBatch]:
     end = end_id.to_bytes(4, "little")
-    columns: list[list] = [[] for _ in range(6)]
+    columns: list[list] = [[] for _ in range(7)]
     size = 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = ids_of(text.as_py() or b"") + end
+        docs = batch.column(0).to_pylist()
+        found = ids_of.all([text or b"" for text in batch.column(1).to_pylist()])
+        for doc, ids in zip(docs, found, strict=True):
+            ids += end
             start = 0
             for length in binary_lengths(len(ids) // 4, max_length):
-                row = (doc, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4)
+                piece = ids[4 * start : 4 * (start + length)]
+                kept = piece if tokens else None
+                row = (doc, start, length, kept, zlib.crc32(piece), len(ids) // 4)
                 for column, value in zip(columns, (*row, length.bit_length() - 1), strict=True):
                     column.append(value)
                 start += length
             size += len(ids)
             if size >= OUTPUT_BYTES:
                 yield _batch(columns)
-                columns, size = [[] for _ in range(6)], 0
+                columns, size = [[] for _ in range(7)], 0
     if columns[0]:
         yield _batch(columns)
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
-    names = ("doc_id", "start", "length", "tokens", "doc_tokens", "bucket")
+    long = pa.int64()
+    types = (long, long, long, pa.binary(), long, long, pa.int32())
+    names = ("doc_id", "start", "length", "tokens", "ids_crc32", "doc_tokens", "bucket")
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
     )
@@ -167,7 +197,7 @@ def digest(pieces: DataFrame) -> DataFrame:
         "doc_id",
         "start",
         "length",
-        F.crc32("tokens").alias("ids_crc32"),
+        "ids_crc32",
         "doc_tokens",
         "sequence_id",
         "offset",
@@ -177,4 +207,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document."""
-    return digest(pack(table(spark, sf_dir, "documents")))
+    return digest(pack(table(spark, sf_dir, "documents"), tokens=False))

@@ -31,6 +31,7 @@ def test_binary_lengths():
         "<|endoftext|> stays special, <|ENDOFTEXT|> does not",
         "a\x1cb c\u0085d  e don't. x1. 'S. it's, ΣΑΣ. ,, .,. é. É. İ. K. ſ",
         "a.b, c,. '. d'. 's. 中文。 ,a",
+        "oui&&& x'&s don'&& 12$$ a1%b é&& <|&& <&& &<| <|endoftext|>&&& w<|endoftext|> \x1c \u0085 a\u0301&&",
     ],
 )
 def test_words_one_by_one_give_the_ids_of_the_text(tokenizer, text):
