@@ -19,12 +19,16 @@ Copies must not expand into all pairs, so the work is done in steps:
 3. Each list has a pivot; members that meet a pivot k times are verified against it, not
    against all. The links found already connect groups of near copies.
 4. Members of a list that are still in different components are merged, counted and, if
-   they meet k times, verified. Pairs within one component can't change it.
+   they meet k times, verified. Pairs within one component can't change it. Two sets differ in
+   at least as many shingles as their parity maps in bits; pairs that differ in too many
+   bits are left out where they meet, so a group of copies that are all just too different does
+   not come out as all its pairs.
 5. Components of all links.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +49,14 @@ from pseudosignal.llm.common import (
 
 # Occurrences that a partner needs in the short lists.
 MERGED = 2
-# Cells of the count sketch, one byte each: 16 MiB, in chunks.
-CELL_BITS = 24
+# Cells of the count sketch, one byte each: 4 MiB, in chunks that travel compressed.
+CELL_BITS = 22
 CELL_SHIFT = np.uint64(64 - CELL_BITS)
 CHUNK = 1 << 14
 # Lanes in which sketches of tasks are added up first.
 SKETCH_LANES = 32
+# Bits of a set's parity map: each of its shingles turns one bit over.
+PARITY_BITS = 128
 # Words whose hashes a worker remembers.
 REMEMBERED_WORDS = 200_000
 # Pivots for which the lists of a group of copies can vote.
@@ -99,35 +105,44 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _parity(found: np.ndarray) -> tuple[int, int]:
+    odd = np.bincount(found.astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    low, high = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return low, high
+
+
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, h1, h2) of each document; at the end (chunk, counts), the sketch of the task."""
+    """(doc_id, n, h1, h2, p1, p2) of each document; at the end (chunk, counts), the task's sketch."""
     shingles, cells = Shingles(width), np.zeros(1 << CELL_BITS, np.uint8)
     for batch in batches:
-        n, h1, h2 = [], [], []
+        n, h1, h2, parity = [], [], [], []
         for text in batch.column(1):
             found = shingles(text.as_py() or b"")
             mark = xxhash.xxh3_128_intdigest(found.tobytes())
             n.append(len(found))
             h1.append(_signed(mark >> 64))
             h2.append(_signed(mark & (1 << 64) - 1))
+            parity.append(_parity(found))
             at = found >> CELL_SHIFT
             old = cells[at]
             cells[at] = old + (old < 255)
-        yield _rows(batch.column(0), n, h1, h2, [None] * len(n), [None] * len(n))
+        none = [None] * len(n)
+        p1, p2 = zip(*parity, strict=True) if parity else ((), ())
+        yield _rows(batch.column(0), n, h1, h2, p1, p2, none, none)
     for start in range(0, len(cells), 64 * CHUNK):
         some = cells[start : start + 64 * CHUNK].reshape(-1, CHUNK)
         used = np.flatnonzero(some.any(axis=1))
         if len(used):
             none = [None] * len(used)
-            counts = [some[i].tobytes() for i in used]
-            yield _rows(none, none, none, none, used + start // CHUNK, counts)
+            counts = [zlib.compress(some[i].tobytes(), 1) for i in used]
+            yield _rows(*[none] * 6, used + start // CHUNK, counts)
 
 
-_PROFILE = ("doc_id", "n", "h1", "h2", "chunk", "counts")
+_PROFILE = ("doc_id", "n", "h1", "h2", "p1", "p2", "chunk", "counts")
 
 
 def _rows(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()]
+    kinds = [pa.int64()] * 7 + [pa.binary()]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=_PROFILE
     )
@@ -139,7 +154,7 @@ def _added(batches: Iterator[pa.RecordBatch], kind: type, last: bool) -> Iterato
     for batch in batches:
         keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         for i, key in enumerate(keys):
-            part = np.frombuffer(batch.column(2)[i].as_py(), kind)
+            part = np.frombuffer(zlib.decompress(batch.column(2)[i].as_py()), kind)
             total = sums.setdefault(key, np.zeros(CHUNK, np.uint32))
             np.add(total, part, out=total)
     for (chunk, lane), total in sums.items():
@@ -149,13 +164,13 @@ def _added(batches: Iterator[pa.RecordBatch], kind: type, last: bool) -> Iterato
         else:
             out = np.minimum(total, 65535).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), pa.array([lane]), pa.array([out.tobytes()], pa.binary())],
+            [pa.array([chunk]), pa.array([lane]), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())],
             names=["chunk", "lane", "counts"],
         )
 
 
 def _sketch(profile: DataFrame):
-    """The sketch of all documents, broadcast: 16 MiB, whatever the size of the data."""
+    """The sketch of all documents, broadcast: 4 MiB, whatever the size of the data."""
     form = "chunk bigint, lane bigint, counts binary"
     parts = profile.where("chunk is not null").select(
         "chunk", F.pmod(F.xxhash64("counts"), F.lit(SKETCH_LANES)).alias("lane"), "counts"
@@ -171,7 +186,9 @@ def _sketch(profile: DataFrame):
     )
     cells = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint8)
     for chunk, counts in zip(whole["chunk"].to_pylist(), whole["counts"].to_pylist(), strict=True):
-        cells[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.uint8)
+        cells[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(
+            zlib.decompress(counts), np.uint8
+        )
     return profile.sparkSession.sparkContext.broadcast(cells)
 
 
@@ -233,30 +250,24 @@ def _postings(
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _probe(
+    batches: Iterator[pa.RecordBatch], width: int, num: int, den: int
+) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, part, b, text), sorted so that a's own text (b is NULL) comes first, the links."""
     shingles = Shingles(width)
-    for batch in batches:
-        found = [shingles(text.as_py() or b"").tobytes() for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"]
-        )
-
-
-def _probe(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, shingles), sorted so that a's own set (b is NULL) comes first, the links."""
     current, own = None, None
     for batch in batches:
         left, right = [], []
-        sets = batch.column(3)
+        texts = batch.column(3)
         for i, (a, b) in enumerate(
             zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
         ):
-            found = np.frombuffer(sets[i].as_py(), np.uint64)
+            found = shingles(texts[i].as_py() or b"")
             if b is None:
                 current, own = a, found
                 continue
             if a != current:
-                raise RuntimeError("a document's own shingles must precede its partners")
+                raise RuntimeError("a document's own text must precede its partners")
             few, many = (found, own) if len(found) <= len(own) else (own, found)
             at = np.searchsorted(many, few)
             at[at == len(many)] = 0
@@ -269,25 +280,25 @@ def _probe(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough. Each b travels once, to its a; a hot a is dealt
-    out over several tasks."""
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough. Each b travels once, to its a, as text, which
+    takes less than its shingles; a hot a is dealt out over several tasks."""
     fan = pairs.groupBy("a").agg(
         F.ceil(F.count("*") / F.lit(PARTNERS_PER_TASK)).cast("bigint").alias("parts")
     )
     own = (
-        fan.join(sets, fan.a == sets.id)
-        .select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)), "shingles")
-        .select("a", F.col("col").alias("part"), F.lit(None).cast("bigint").alias("b"), "shingles")
+        fan.join(texts, fan.a == texts.id)
+        .select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)), "text")
+        .select("a", F.col("col").alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
     )
     partner = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
-    partner = partner.join(sets, partner.b == sets.id).select("a", "part", "b", "shingles")
+    partner = partner.join(texts, partner.b == texts.id).select("a", "part", "b", "text")
     rows = (
         own.union(partner)
         .repartition("a", "part")
         .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     )
-    return rows.mapInArrow(lambda batches: _probe(batches, num, den), "a bigint, b bigint")
+    return rows.mapInArrow(lambda batches: _probe(batches, width, num, den), "a bigint, b bigint")
 
 
 def jaccard_components(
@@ -310,7 +321,7 @@ def jaccard_components(
     profile = stored(
         slim.mapInArrow(
             lambda batches: _profiles(batches, width),
-            "doc_id bigint, n bigint, h1 bigint, h2 bigint, chunk bigint, counts binary",
+            ", ".join(f"{c} bigint" for c in _PROFILE[:-1]) + ", counts binary",
         ),
         "ngram-profile",
     )
@@ -328,24 +339,23 @@ def jaccard_components(
     classes = (
         own.where("n > 0 and doc_id is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("id"))
+        .agg(F.min("doc_id").alias("id"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     )
     lists = stored(_shared_lists(postings, classes), "ngram-lists")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        near = maybe_in(named, "doc_id", membership_map(ids, "id")).mapInArrow(
-            lambda batches: _sets(batches, width), "id bigint, shingles binary"
-        )
-        return stored(near.join(ids, "id", "left_semi"), "ngram-sets")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        near = maybe_in(named, "doc_id", membership_map(ids, "id"))
+        near = near.withColumnRenamed("doc_id", "id")
+        return stored(near.join(ids, "id", "left_semi"), "ngram-texts")
 
     pivots = stored(_pivot_pairs(lists, num, den, k), "ngram-pivots")
-    sets = sets_of(_ends(pivots))
-    links = stored(_verified(pivots, sets, num, den), "ngram-links")
+    texts = texts_of(_ends(pivots))
+    links = stored(_verified(pivots, texts, width, num, den), "ngram-links")
     rest = stored(_merged_pairs(lists, components(links), pivots, num, den, k), "ngram-pairs")
-    sets = sets.union(sets_of(_ends(rest).join(sets, "id", "left_anti")))
-    more = _verified(rest, sets, num, den)
+    texts = texts.union(texts_of(_ends(rest).join(texts, "id", "left_anti")))
+    more = _verified(rest, texts, width, num, den)
 
-    member = own.join(classes, ["h1", "h2"], "left")
+    member = own.drop("p1", "p2").join(classes.drop("p1", "p2"), ["h1", "h2"], "left")
     spread = (
         member.where("doc_id is not null and id is not null")
         .groupBy("doc_id")
@@ -366,7 +376,7 @@ def jaccard_components(
 
 
 def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, id, n, pos) of the lists in which at least two classes occur."""
+    """(token, id, n, pos, p1, p2) of the lists in which at least two classes occur."""
     shared = (
         postings.groupBy("token")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
@@ -379,7 +389,7 @@ def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
         candidates.join(shared, "token")
         .distinct()
         .join(classes, ["h1", "h2"])
-        .select("token", "id", "n", "pos")
+        .select("token", "id", "n", "pos", "p1", "p2")
     )
 
 
@@ -391,6 +401,12 @@ def _can_meet(n: str, pos: str, m: str, place: str, num: int, den: int, k: int):
     return sizes & (left * (num + den) >= (F.col(n) + F.col(m)) * num)
 
 
+def _not_apart(num: int, den: int):
+    """The parity maps (p1, p2) and (o1, o2) differ in no more bits than the sets may in shingles."""
+    bits = F.bit_count(F.col("p1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("p2").bitwiseXOR(F.col("o2")))
+    return bits * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
@@ -424,7 +440,7 @@ def _merged_pairs(
     rows grow with those stragglers, not with the square of a group of copies.
     """
     member = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", "pos", F.coalesce("component", "id").alias("c")
+        "token", "id", "n", "pos", "p1", "p2", F.coalesce("component", "id").alias("c")
     )
     member = stored(member, "ngram-members")
     hosts = (
@@ -442,11 +458,13 @@ def _merged_pairs(
         F.col("n").alias("m"),
         F.col("pos").alias("place"),
         F.col("c").alias("qc"),
+        F.col("p1").alias("o1"),
+        F.col("p2").alias("o2"),
     )
     pairs = (
         query.join(open_lists, "token")
         .where("c != qc and (c = host or q < id)")
-        .where(_can_meet("n", "pos", "m", "place", num, den, k))
+        .where(_can_meet("n", "pos", "m", "place", num, den, k) & _not_apart(num, den))
         .groupBy(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b"))
         .agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= k)

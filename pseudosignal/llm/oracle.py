@@ -63,13 +63,13 @@ WITH sized AS (
 ), placed AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY key) - words AS base FROM keyed
 ), joined AS (
-  SELECT s.doc_id, s.size, b.source_size, b.target, p.base, p.words, p.n,
+  SELECT s.doc_id, s.source, s.size, b.source_size, b.target, p.base, p.words, p.n,
     CASE WHEN b.source_size > 0 THEN b.budget // b.source_size ELSE 0 END AS epochs,
     CASE WHEN b.source_size > 0 THEN b.budget % b.source_size ELSE 0 END AS rest
   FROM sized s JOIN placed p ON s.source IS NOT DISTINCT FROM p.source AND s.key = p.key
   JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size +
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size +
   CASE WHEN base + words <= rest THEN size WHEN base < rest THEN (rest - base) // n ELSE 0 END AS BIGINT) AS taken
 FROM joined
 """
