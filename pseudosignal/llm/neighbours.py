@@ -193,7 +193,8 @@ def nearest(
     Needs vec_id and embedding; other columns are ignored. Vectors that are NULL, empty or
     zero or hold NULL or non-finite components take no part, nor do rows with NULL vec_id,
     nor vectors of another dimension than the most frequent one. Ties go to the smaller
-    vec_id; rows that repeat a vec_id compete as they are. With fewer than k candidates a
+    vec_id. Rows that repeat a vec_id are one query, with the smallest vector, but are
+    candidates each. With fewer than k candidates a
     query has them all; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -238,7 +239,13 @@ def nearest(
         ),
         lambda s: s["parts"],
     )
-    asked = routed.where(F.col("vec_id") % every == 0).select(
+    queried = (
+        routed.where(F.col("vec_id") % every == 0)
+        .groupBy("vec_id")
+        .agg(F.min(F.struct("v", "ranked")).alias("row"))
+        .select("vec_id", "row.*")
+    )
+    asked = queried.select(
         "vec_id", "v", F.explode(F.slice(filled, F.lit(1), enough)).alias("part")
     )
     n_queries = max(1, -(-routed.where(F.col("vec_id") % every == 0).count() // QUERY_ROWS))

@@ -56,7 +56,8 @@ CHUNK = 1 << 14
 # Lanes in which sketches of tasks are added up first.
 SKETCH_LANES = 32
 # Bits of a set's parity map: each of its shingles turns one bit over.
-PARITY_BITS = 128
+PARITY_BITS = 256
+PARITY = tuple(f"p{i}" for i in range(PARITY_BITS // 64))
 # Words whose hashes a worker remembers.
 REMEMBERED_WORDS = 200_000
 # Pivots for which the lists of a group of copies can vote.
@@ -105,14 +106,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _parity(found: np.ndarray) -> tuple[int, int]:
+def _parity(found: np.ndarray) -> list[int]:
     odd = np.bincount(found.astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
-    low, high = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-    return low, high
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, h1, h2, p1, p2) of each document; at the end (chunk, counts), the task's sketch."""
+    """(doc_id, n, h1, h2, parity map) of each document; at the end (chunk, counts), the task's sketch."""
     shingles, cells = Shingles(width), np.zeros(1 << CELL_BITS, np.uint8)
     for batch in batches:
         n, h1, h2, parity = [], [], [], []
@@ -127,22 +127,22 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             old = cells[at]
             cells[at] = old + (old < 255)
         none = [None] * len(n)
-        p1, p2 = zip(*parity, strict=True) if parity else ((), ())
-        yield _rows(batch.column(0), n, h1, h2, p1, p2, none, none)
+        maps = np.array(parity, np.int64).reshape(len(n), len(PARITY)).T
+        yield _rows(batch.column(0), n, h1, h2, *maps, none, none)
     for start in range(0, len(cells), 64 * CHUNK):
         some = cells[start : start + 64 * CHUNK].reshape(-1, CHUNK)
         used = np.flatnonzero(some.any(axis=1))
         if len(used):
             none = [None] * len(used)
             counts = [zlib.compress(some[i].tobytes(), 1) for i in used]
-            yield _rows(*[none] * 6, used + start // CHUNK, counts)
+            yield _rows(*[none] * (len(_PROFILE) - 2), used + start // CHUNK, counts)
 
 
-_PROFILE = ("doc_id", "n", "h1", "h2", "p1", "p2", "chunk", "counts")
+_PROFILE = ("doc_id", "n", "h1", "h2", *PARITY, "chunk", "counts")
 
 
 def _rows(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 7 + [pa.binary()]
+    kinds = [pa.int64()] * (len(_PROFILE) - 1) + [pa.binary()]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=_PROFILE
     )
@@ -339,7 +339,7 @@ def jaccard_components(
     classes = (
         own.where("n > 0 and doc_id is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("id"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+        .agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in PARITY])
     )
     lists = stored(_shared_lists(postings, classes), "ngram-lists")
 
@@ -355,7 +355,7 @@ def jaccard_components(
     texts = texts.union(texts_of(_ends(rest).join(texts, "id", "left_anti")))
     more = _verified(rest, texts, width, num, den)
 
-    member = own.drop("p1", "p2").join(classes.drop("p1", "p2"), ["h1", "h2"], "left")
+    member = own.drop(*PARITY).join(classes.drop(*PARITY), ["h1", "h2"], "left")
     spread = (
         member.where("doc_id is not null and id is not null")
         .groupBy("doc_id")
@@ -376,7 +376,7 @@ def jaccard_components(
 
 
 def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, id, n, pos, p1, p2) of the lists in which at least two classes occur."""
+    """(token, id, n, pos, parity map) of the lists in which at least two classes occur."""
     shared = (
         postings.groupBy("token")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
@@ -389,7 +389,7 @@ def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
         candidates.join(shared, "token")
         .distinct()
         .join(classes, ["h1", "h2"])
-        .select("token", "id", "n", "pos", "p1", "p2")
+        .select("token", "id", "n", "pos", *PARITY)
     )
 
 
@@ -402,8 +402,8 @@ def _can_meet(n: str, pos: str, m: str, place: str, num: int, den: int, k: int):
 
 
 def _not_apart(num: int, den: int):
-    """The parity maps (p1, p2) and (o1, o2) differ in no more bits than the sets may in shingles."""
-    bits = F.bit_count(F.col("p1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("p2").bitwiseXOR(F.col("o2")))
+    """The parity maps p.. and other_p.. differ in no more bits than the sets may in shingles."""
+    bits = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITY)
     return bits * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
 
 
@@ -440,7 +440,7 @@ def _merged_pairs(
     rows grow with those stragglers, not with the square of a group of copies.
     """
     member = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", "pos", "p1", "p2", F.coalesce("component", "id").alias("c")
+        "token", "id", "n", "pos", *PARITY, F.coalesce("component", "id").alias("c")
     )
     member = stored(member, "ngram-members")
     hosts = (
@@ -458,8 +458,7 @@ def _merged_pairs(
         F.col("n").alias("m"),
         F.col("pos").alias("place"),
         F.col("c").alias("qc"),
-        F.col("p1").alias("o1"),
-        F.col("p2").alias("o2"),
+        *[F.col(p).alias(f"other_{p}") for p in PARITY],
     )
     pairs = (
         query.join(open_lists, "token")

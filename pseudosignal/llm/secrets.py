@@ -117,7 +117,11 @@ def train(docs: DataFrame, sample_docs: int = TRAINING_DOCS) -> dict[int, int]:
     text = F.col("text")
     patterns = (ACCESS, HEX)
     values = F.concat(
-        F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)),
+        # Shorter values are no secrets, so nothing to learn from either.
+        F.filter(
+            F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)),
+            lambda v: F.length(v) >= MIN_ASSIGNED,
+        ),
         *[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns],
     )
     secret = text.rlike(f"{ASSIGN_WORDS}|{ACCESS}|{HEX}")

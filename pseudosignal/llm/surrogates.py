@@ -92,7 +92,7 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _feistel(codes: Column, sizes: Column, key: str, kind: str) -> Column:
+def _feistel(codes: Column, sizes: Column, key: Column, kind: str) -> Column:
     """A keyed permutation of arrays of small numbers. sizes[i] is how many values place i has;
     each half in turn is shifted, place by place, by a digest of the other half."""
 
@@ -106,7 +106,7 @@ def _feistel(codes: Column, sizes: Column, key: str, kind: str) -> Column:
             fixed = F.when(odd, F.slice(state, F.lit(1), half)).otherwise(
                 F.slice(state, half + 1, n - half)
             )
-            parts = (F.lit(key), F.lit(kind), r, given["frame"], F.array_join(fixed, ","))
+            parts = (key, F.lit(kind), r, given["frame"], F.array_join(fixed, ","))
             return let(
                 F.sha2(F.concat_ws("|", *parts), 256),
                 lambda digest: F.transform(
@@ -127,7 +127,7 @@ def _feistel(codes: Column, sizes: Column, key: str, kind: str) -> Column:
     )
 
 
-def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
+def _permuted_digits(digits: Column, key: Column, kind: str) -> Column:
     """Digits (array of int), permuted among those of the same number."""
     return let(
         digits, lambda d: _feistel(d, F.transform(d, lambda _: F.lit(10)), key, kind)
@@ -160,18 +160,18 @@ def _digits(entity: Column) -> Column:
     )
 
 
-def _number(entity: Column, key: str, kind: str) -> Column:
+def _number(entity: Column, key: Column, kind: str) -> Column:
     return _refilled(entity, _permuted_digits(_digits(entity), key, kind))
 
 
-def _phone(entity: Column, key: str) -> Column:
+def _phone(entity: Column, key: Column) -> Column:
     """The country code stays."""
     code = F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
     rest = F.substring(entity, F.length(code) + 1, F.length(entity))
     return F.concat(code, _number(rest, key, "phone"))
 
 
-def _card(entity: Column, key: str) -> Column:
+def _card(entity: Column, key: Column) -> Column:
     """The body is permuted, the check digit computed."""
     body = let(_digits(entity), lambda d: F.slice(d, F.lit(1), F.size(d) - 1))
     digits = let(
@@ -180,13 +180,13 @@ def _card(entity: Column, key: str) -> Column:
     return _refilled(entity, digits)
 
 
-def _ip(entity: Column, key: str) -> Column:
+def _ip(entity: Column, key: Column) -> Column:
     octets = F.transform(F.split(entity, r"\."), lambda o: o.cast("int"))
     moved = let(octets, lambda o: _feistel(o, F.transform(o, lambda _: F.lit(256)), key, "ip"))
     return F.array_join(F.transform(moved, lambda o: o.cast("string")), ".")
 
 
-def _same_class(text: Column, key: str, kind: str) -> Column:
+def _same_class(text: Column, key: Column, kind: str) -> Column:
     """Lower-case text with letters and digits permuted, each within its class."""
     chars = F.split(text, "")
     is_digit, is_letter = lambda c: c.between("0", "9"), lambda c: c.between("a", "z")
@@ -216,7 +216,7 @@ def _same_class(text: Column, key: str, kind: str) -> Column:
     return F.when(text == "", "").otherwise(F.array_join(out, ""))
 
 
-def _email(entity: Column, key: str) -> Column:
+def _email(entity: Column, key: Column) -> Column:
     """Local part and domain apart, so addresses of one domain stay together; the last label
     stays. Addresses that differ in case only have one surrogate, in their own case."""
     low = F.lower(entity)
@@ -263,13 +263,13 @@ def _spelled(digest: Column, first: int, count: int, script: str) -> Column:
     return F.array_join(spelled, "")
 
 
-def _name(entity: Column, key: str, attempt: int) -> Column:
+def _name(entity: Column, key: Column, attempt: int) -> Column:
     """Title as it is; given and family name, or one name, as before. 75 bits of the digest of a
     whole name are spelled out, 50 of a single one."""
     title = F.substring_index(entity, " ", 1)
     own = F.substring(entity, F.length(title) + 2, F.length(entity))
     male = title.rlike(f"^{_MALE}$")
-    whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), F.lit(attempt), own), 256)
+    whole = F.sha2(F.concat_ws("|", key, F.lit("name"), F.lit(attempt), own), 256)
     two = own.contains(" ")
 
     def made(script: str, digest: Column) -> Column:
@@ -355,7 +355,7 @@ def _free(spans: Column, before: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, entity: Column, key: str, attempt: int = 0) -> Column:
+def surrogate(kind: Column, entity: Column, key: Column, attempt: int = 0) -> Column:
     made = {
         "email": _email(entity, key),
         "ip": _ip(entity, key),
@@ -370,22 +370,41 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int = 0) -> Colum
     return out
 
 
-def _settled_attempt(found: DataFrame, key: str) -> int:
+# The column that holds the key.
+KEY = "_surrogate_key"
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the key as a column of a one-row table. As a literal it could be read in the
+    query plan, and in event logs; the rows of a table made from values are in neither."""
+    one = df.sparkSession.createDataFrame([(0, key)], f"_one int, {KEY} string")
+    return df.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
+
+
+def _settled_attempt(found: DataFrame) -> int:
     """The first attempt in which no two names get one surrogate, and none gets another's name.
 
     Looks at all names in the texts, also at those inside of other entities; they are
-    searched for once and written, then each attempt reads the distinct names only.
+    searched for once. What is written are keyed digests of names and surrogates, no names.
     """
-    text = F.col("text")
+    text, key = F.col("text"), F.col(KEY)
     every = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
-    names = stored(
-        found.where(_THERE["name"](text)).select(F.explode(every).alias("entity")).distinct(),
-        "surrogate-names",
+
+    def mark(name: Column) -> Column:
+        return F.sha2(F.concat_ws("|", key, F.lit("mark"), name), 256)
+
+    names = found.where(_THERE["name"](text)).select(KEY, F.explode(every).alias("entity")).distinct()
+    marks = stored(
+        names.select(
+            mark(F.col("entity")).alias("entity"),
+            *[mark(_name(F.col("entity"), key, i)).alias(f"made{i}") for i in range(ATTEMPTS)],
+        ),
+        "surrogate-marks",
     )
     for attempt in range(ATTEMPTS):
-        made = names.select("entity", _name(F.col("entity"), key, attempt).alias("made"))
+        made = marks.select(F.col(f"made{attempt}").alias("made"))
         twice = made.groupBy("made").agg(F.count("*").alias("n")).where("n > 1")
-        real = made.select("made").join(names, F.col("made") == F.col("entity"), "left_semi")
+        real = made.join(marks.select("entity"), F.col("made") == F.col("entity"), "left_semi")
         if twice.isEmpty() and real.isEmpty():
             return attempt
     raise RuntimeError(f"names still collide after {ATTEMPTS} attempts; use another key")
@@ -393,8 +412,8 @@ def _settled_attempt(found: DataFrame, key: str) -> int:
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """row, text with surrogates, and entities (start, kind, end, entity, surrogate) of each row."""
-    found = detect(docs)
-    attempt = _settled_attempt(found, key)
+    found = _keyed(detect(docs), key)
+    attempt, key = _settled_attempt(found), F.col(KEY)
     entities = F.transform(
         "entities",
         lambda e: F.struct(

@@ -95,7 +95,7 @@ def test_names_that_collide_get_another_attempt(docs_of, monkeypatch):
         lambda e, key, attempt: inner(e, key, attempt) if attempt else surrogates.F.lit("Mr Same"),
     )
     found = surrogates.detect(docs_of([(1, "Mr Abel"), (2, "Mr Cain")]))
-    assert surrogates._settled_attempt(found, KEY) == 1
+    assert surrogates._settled_attempt(surrogates._keyed(found, KEY)) == 1
 
 
 def test_text_is_put_together_again(docs_of):
@@ -118,3 +118,21 @@ def test_clean_texts_are_left_alone(docs_of, edges):
 def test_plan_has_no_python(docs_of):
     plan = surrogates.anonymise(docs_of([(1, TEXT)]), KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_key_is_in_no_plan_and_names_are_in_no_file(spark, docs_of):
+    key = "a-key-that-must-not-show"
+    docs = docs_of([(1, "Write to Mr John Example or to jane@real.org, 555-123-4567.")])
+    done = surrogates.anonymise(docs, key)
+    plan = done._jdf.queryExecution().toString() + done._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended")
+    )
+    assert key not in plan
+    folder = spark.conf.get("spark.checkpoint.dir")
+    import glob
+
+    for file in glob.glob(f"{folder}/surrogate-marks-*/*.parquet"):
+        data = open(file, "rb").read()
+        assert b"Example" not in data and key.encode() not in data
+    (row,) = done.collect()
+    assert "John" not in row["text"] and "jane@real.org" not in row["text"]

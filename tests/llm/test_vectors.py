@@ -151,3 +151,16 @@ def test_parts_are_balanced_and_cut_few_edges():
     part = neighbours.balanced_parts(graph, 4)
     assert np.bincount(part, minlength=4).max() <= 106
     assert (part[graph] == part[:, None]).mean() > 0.6
+
+
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows * 3, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(table, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for query in (0, 20, 40):
+        others = sorted((-float(np.dot(rows[query][1], v)), i) for i, v in rows if i != query)
+        assert got[query] == [(n + 1, others[n // 3][1]) for n in range(6)]
+    assert set(got) == {0, 20, 40}
