@@ -12,7 +12,7 @@ Bundling is linear, so a text is counted first and only its distinct n-grams are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ def _letters() -> np.ndarray:
     return found
 
 
-@cache
+@lru_cache(maxsize=8192)
 def _letter_vector(code: int, dimensions: int, seed: int) -> np.ndarray:
     bits = np.random.Generator(np.random.Philox(key=[seed, code])).integers(
         0, 2, dimensions, dtype=np.int8
@@ -55,7 +55,8 @@ def _letter_vector(code: int, dimensions: int, seed: int) -> np.ndarray:
 
 
 class Profiles:
-    """Counts of n-grams, and bundles of their vectors."""
+    """Counts of n-grams, and bundles of their vectors. What it remembers lasts as long as its task,
+    so that a worker process that goes on to other work holds none of it."""
 
     def __init__(self, n: int, dimensions: int, seed: int) -> None:
         self.n, self.dimensions, self.seed = n, dimensions, seed
@@ -113,15 +114,9 @@ class Profiles:
         return total
 
 
-@cache
-def _profiles(n: int, dimensions: int, seed: int) -> Profiles:
-    """One for each worker process."""
-    return Profiles(n, dimensions, seed)
-
-
 def _learned(batches: Iterator[pa.RecordBatch], n: int, dimensions: int, seed: int):
     """Bundle of each language over one task: a few rows, however many documents."""
-    profiles = _profiles(n, dimensions, seed)
+    profiles = Profiles(n, dimensions, seed)
     weights: dict[str, dict[int, float]] = {}
     texts: dict[str, int] = {}
     totals: dict[str, np.ndarray] = {}
@@ -214,7 +209,7 @@ def identify(
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = _profiles(n, dimensions, seed)
+        profiles = Profiles(n, dimensions, seed)
         for batch in batches:
             found, scores = [], []
             for text in batch.column(at):
