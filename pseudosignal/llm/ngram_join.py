@@ -18,12 +18,15 @@ Copies must not expand into all pairs, so the work is done in steps:
 2. Postings of the short lists are written; lists with one class only are dropped.
 3. Each list has a pivot; members that meet a pivot k times are verified against it, not
    against all. The links found already connect groups of near copies.
-4. Members of a list that are still in different components are merged, counted and, if
+4. Lists that still hold several components get a new pivot, out of the largest of them, for
+   members of the others: each is verified against the one, of some of its lists, whose parity
+   map is nearest. Lists with one component are done.
+5. Members of a list that are still in different components are merged, counted and, if
    they meet k times, verified. Pairs within one component can't change it. Two sets differ in
    at least as many shingles as their parity maps in bits; pairs that differ in too many
    bits are left out where they meet, so a group of copies that are all just too different does
    not come out as all its pairs.
-5. Components of all links.
+6. Components of all links.
 """
 
 from __future__ import annotations
@@ -56,12 +59,16 @@ CHUNK = 1 << 14
 # Lanes in which sketches of tasks are added up first.
 SKETCH_LANES = 32
 # Bits of a set's parity map: each of its shingles turns one bit over.
-PARITY_BITS = 256
+PARITY_BITS = 1024
 PARITY = tuple(f"p{i}" for i in range(PARITY_BITS // 64))
 # Words whose hashes a worker remembers.
 REMEMBERED_WORDS = 200_000
 # Pivots for which the lists of a group of copies can vote.
 LANES = 4
+# Turns in which lists with several components get a new pivot, before their members are merged.
+NEW_PIVOTS = 1
+# New pivots that a document is compared with in one turn.
+CHOICES = 8
 # Partners of one document that are verified by one task.
 PARTNERS_PER_TASK = 2000
 
@@ -336,14 +343,17 @@ def jaccard_components(
         ),
         "ngram-postings",
     )
-    classes = (
+    classes = stored(
         own.where("n > 0 and doc_id is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in PARITY])
+        .agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in PARITY]),
+        "ngram-classes",
     )
-    lists = stored(_shared_lists(postings, classes), "ngram-lists")
+    maps = classes.select("id", *PARITY)
+    lists = stored(_shared_lists(postings, classes.drop(*PARITY)), "ngram-lists")
 
     def texts_of(ids: DataFrame) -> DataFrame:
+        ids = stored(ids, "ngram-ends")
         near = maybe_in(named, "doc_id", membership_map(ids, "id"))
         near = near.withColumnRenamed("doc_id", "id")
         return stored(near.join(ids, "id", "left_semi"), "ngram-texts")
@@ -351,7 +361,16 @@ def jaccard_components(
     pivots = stored(_pivot_pairs(lists, num, den, k), "ngram-pivots")
     texts = texts_of(_ends(pivots))
     links = stored(_verified(pivots, texts, width, num, den), "ngram-links")
-    rest = stored(_merged_pairs(lists, components(links), pivots, num, den, k), "ngram-pairs")
+    found = components(links)
+    for turn in range(NEW_PIVOTS):
+        lists = stored(_open_lists(lists, found, turn), "ngram-open")
+        pairs = stored(_host_pairs(lists, maps, pivots, num, den), "ngram-pivots")
+        texts = texts.union(texts_of(_ends(pairs).join(texts, "id", "left_anti")))
+        new = stored(_verified(pairs, texts, width, num, den), "ngram-links")
+        pivots, links = pivots.union(pairs), links.union(new)
+        # Components of the components: no link found before travels again.
+        found = _joined(found, new)
+    rest = stored(_merged_pairs(lists, found, maps, pivots, num, den, k), "ngram-pairs")
     texts = texts.union(texts_of(_ends(rest).join(texts, "id", "left_anti")))
     more = _verified(rest, texts, width, num, den)
 
@@ -389,7 +408,7 @@ def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
         candidates.join(shared, "token")
         .distinct()
         .join(classes, ["h1", "h2"])
-        .select("token", "id", "n", "pos", *PARITY)
+        .select("token", "id", "n", "pos")
     )
 
 
@@ -401,10 +420,14 @@ def _can_meet(n: str, pos: str, m: str, place: str, num: int, den: int, k: int):
     return sizes & (left * (num + den) >= (F.col(n) + F.col(m)) * num)
 
 
+def _apart():
+    """Bits in which the parity maps p.. and other_p.. differ."""
+    return sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITY)
+
+
 def _not_apart(num: int, den: int):
     """The parity maps p.. and other_p.. differ in no more bits than the sets may in shingles."""
-    bits = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITY)
-    return bits * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
+    return _apart() * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -431,17 +454,83 @@ def _pivot_pairs(lists: DataFrame, num: int, den: int, k: int) -> DataFrame:
     )
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found``, joined where ``links`` connect them."""
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(edges.union(links.select("a", "b")))
+
+
+def _in_components(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists with c, the component of each member."""
+    return lists.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "token", "id", "n", "pos", F.coalesce("component", "id").alias("c")
+    )
+
+
+def _open_lists(lists: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Lists with several components: their members with c, the largest component as host, and
+    a pivot (a, m, place) out of it, another one in each turn."""
+    member = stored(_in_components(lists, found), "ngram-members")
+    vote = F.xxhash64(F.pmod("token", F.lit(LANES)), "id", F.lit(turn))
+    hosts = (
+        member.groupBy("token", "c")
+        .agg(F.count("*").alias("rows"), F.min(F.struct(vote, "id", "n", "pos")).alias("first"))
+        .groupBy("token")
+        .agg(
+            F.max(F.struct("rows", "c", "first")).alias("host"),
+            F.count("*").alias("cs"),
+        )
+        .where("cs > 1")
+        .select(
+            "token",
+            F.col("host.c").alias("host"),
+            F.col("host.first.id").alias("a"),
+            F.col("host.first.n").alias("m"),
+            F.col("host.first.pos").alias("place"),
+        )
+    )
+    return member.join(hosts, "token")
+
+
+def _host_pairs(
+    lists: DataFrame, maps: DataFrame, done: DataFrame, num: int, den: int
+) -> DataFrame:
+    """(a, b): a document outside its lists' host and, of the pivots of some of its lists, the one
+    whose parity map is nearest. What is missed here is left to the merge."""
+    lane = F.pmod(F.xxhash64("token"), F.lit(CHOICES))
+    pairs = (
+        lists.where("c != host")
+        .where(_can_meet("n", "pos", "m", "place", num, den, MERGED))
+        .groupBy(F.col("id").alias("b"), lane.alias("lane"))
+        .agg(F.min(F.struct("a", "n", "m")).alias("pivot"))
+        .select("b", "pivot.*")
+        .distinct()
+    )
+    other = maps.select(F.col("id").alias("a"), *[F.col(p).alias(f"other_{p}") for p in PARITY])
+    near = _new_pairs(pairs, done).join(maps.withColumnRenamed("id", "b"), "b").join(other, "a")
+    return (
+        near.where(_not_apart(num, den))
+        .groupBy("b")
+        .agg(F.min_by("a", _apart()).alias("a"))
+        .select("a", "b")
+    )
+
+
+def _new_pairs(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs that are not in ``done`` either way round."""
+    both = done.select("a", "b").union(done.select("b", "a"))
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
 def _merged_pairs(
-    lists: DataFrame, found: DataFrame, pivots: DataFrame, num: int, den: int, k: int
+    lists: DataFrame, found: DataFrame, maps: DataFrame, done: DataFrame, num: int, den: int, k: int
 ) -> DataFrame:
     """Pairs in different components that occur together in at least k short lists.
 
     Members outside the list's largest component are the queries against the list, so the
     rows grow with those stragglers, not with the square of a group of copies.
     """
-    member = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", "pos", *PARITY, F.coalesce("component", "id").alias("c")
-    )
+    member = _in_components(lists, found).join(maps, "id")
     member = stored(member, "ngram-members")
     hosts = (
         member.groupBy("token", "c")
@@ -468,8 +557,7 @@ def _merged_pairs(
         .agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= k)
     )
-    done = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.select("a", "b").join(done, ["a", "b"], "left_anti")
+    return _new_pairs(pairs.select("a", "b"), done)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity_percent: int = 80) -> DataFrame:
