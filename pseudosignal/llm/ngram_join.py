@@ -58,9 +58,11 @@ CELL_SHIFT = np.uint64(64 - CELL_BITS)
 CHUNK = 1 << 14
 # Lanes in which sketches of tasks are added up first.
 SKETCH_LANES = 32
-# Bits of a set's parity map: each of its shingles turns one bit over.
+# Bits of a set's parity map: each of its shingles turns one bit over. Shingles that meet in a bit hide
+# a difference; they grow with the square of the differences that a link allows, which at a
+# similarity of 0.9 or more are half of those at 0.8, so a quarter of the bits does.
 PARITY_BITS = 1024
-PARITY = tuple(f"p{i}" for i in range(PARITY_BITS // 64))
+FEW_PARITY_BITS = 256
 # Words whose hashes a worker remembers.
 REMEMBERED_WORDS = 200_000
 # Pivots for which the lists of a group of copies can vote.
@@ -113,12 +115,19 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _parity(found: np.ndarray) -> list[int]:
-    odd = np.bincount(found.astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+def _parity_names(num: int, den: int) -> tuple[str, ...]:
+    bits = FEW_PARITY_BITS if num * 10 >= den * 9 else PARITY_BITS
+    return tuple(f"p{i}" for i in range(bits // 64))
+
+
+def _parity(found: np.ndarray, bits: int) -> list[int]:
+    odd = np.bincount(found.astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _profiles(
+    batches: Iterator[pa.RecordBatch], width: int, names: tuple[str, ...]
+) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, h1, h2, parity map) of each document; at the end (chunk, counts), the task's sketch."""
     shingles, cells = Shingles(width), np.zeros(1 << CELL_BITS, np.uint8)
     for batch in batches:
@@ -129,29 +138,31 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             n.append(len(found))
             h1.append(_signed(mark >> 64))
             h2.append(_signed(mark & (1 << 64) - 1))
-            parity.append(_parity(found))
+            parity.append(_parity(found, 64 * len(names)))
             at = found >> CELL_SHIFT
             old = cells[at]
             cells[at] = old + (old < 255)
         none = [None] * len(n)
-        maps = np.array(parity, np.int64).reshape(len(n), len(PARITY)).T
-        yield _rows(batch.column(0), n, h1, h2, *maps, none, none)
+        maps = np.array(parity, np.int64).reshape(len(n), len(names)).T
+        yield _rows(names, batch.column(0), n, h1, h2, *maps, none, none)
     for start in range(0, len(cells), 64 * CHUNK):
         some = cells[start : start + 64 * CHUNK].reshape(-1, CHUNK)
         used = np.flatnonzero(some.any(axis=1))
         if len(used):
             none = [None] * len(used)
             counts = [zlib.compress(some[i].tobytes(), 1) for i in used]
-            yield _rows(*[none] * (len(_PROFILE) - 2), used + start // CHUNK, counts)
+            yield _rows(names, *[none] * (4 + len(names)), used + start // CHUNK, counts)
 
 
-_PROFILE = ("doc_id", "n", "h1", "h2", *PARITY, "chunk", "counts")
+def _profile_names(names: tuple[str, ...]) -> tuple[str, ...]:
+    return ("doc_id", "n", "h1", "h2", *names, "chunk", "counts")
 
 
-def _rows(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64()] * (len(_PROFILE) - 1) + [pa.binary()]
+def _rows(names: tuple[str, ...], *columns) -> pa.RecordBatch:
+    kinds = [pa.int64()] * (len(columns) - 1) + [pa.binary()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=_PROFILE
+        [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+        names=_profile_names(names),
     )
 
 
@@ -325,10 +336,11 @@ def jaccard_components(
     small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
 
+    parity = _parity_names(num, den)
     profile = stored(
         slim.mapInArrow(
-            lambda batches: _profiles(batches, width),
-            ", ".join(f"{c} bigint" for c in _PROFILE[:-1]) + ", counts binary",
+            lambda batches: _profiles(batches, width, parity),
+            ", ".join(f"{c} bigint" for c in _profile_names(parity)[:-1]) + ", counts binary",
         ),
         "ngram-profile",
     )
@@ -346,11 +358,11 @@ def jaccard_components(
     classes = stored(
         own.where("n > 0 and doc_id is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in PARITY]),
+        .agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in parity]),
         "ngram-classes",
     )
-    maps = classes.select("id", *PARITY)
-    lists = stored(_shared_lists(postings, classes.drop(*PARITY)), "ngram-lists")
+    maps = classes.select("id", *parity)
+    lists = stored(_shared_lists(postings, classes.drop(*parity)), "ngram-lists")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = stored(ids, "ngram-ends")
@@ -374,7 +386,7 @@ def jaccard_components(
     texts = texts.union(texts_of(_ends(rest).join(texts, "id", "left_anti")))
     more = _verified(rest, texts, width, num, den)
 
-    member = own.drop(*PARITY).join(classes.drop(*PARITY), ["h1", "h2"], "left")
+    member = own.drop(*parity).join(classes.drop(*parity), ["h1", "h2"], "left")
     spread = (
         member.where("doc_id is not null and id is not null")
         .groupBy("doc_id")
@@ -395,17 +407,22 @@ def jaccard_components(
 
 
 def _shared_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, id, n, pos, parity map) of the lists in which at least two classes occur."""
+    """(token, id, n, pos) of the lists in which at least two classes occur.
+
+    Most tokens are posted once. These are told by their count, so that no more than a token
+    and its count travel for them. What is left travels once, with its classes.
+    """
+    twice = postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    some = maybe_in(postings, "token", membership_map(twice.select("token"), "token"))
+    dealt = some.repartition("token")
     shared = (
-        postings.groupBy("token")
+        dealt.groupBy("token")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where("low != high")
         .select("token")
     )
-    shared = stored(shared, "ngram-tokens")
-    candidates = maybe_in(postings, "token", membership_map(shared, "token"))
     return (
-        candidates.join(shared, "token")
+        dealt.join(shared, "token")
         .distinct()
         .join(classes, ["h1", "h2"])
         .select("token", "id", "n", "pos")
@@ -420,14 +437,20 @@ def _can_meet(n: str, pos: str, m: str, place: str, num: int, den: int, k: int):
     return sizes & (left * (num + den) >= (F.col(n) + F.col(m)) * num)
 
 
-def _apart():
+def _apart(num: int, den: int):
     """Bits in which the parity maps p.. and other_p.. differ."""
-    return sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITY)
+    names = _parity_names(num, den)
+    return sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in names)
 
 
 def _not_apart(num: int, den: int):
     """The parity maps p.. and other_p.. differ in no more bits than the sets may in shingles."""
-    return _apart() * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
+    return _apart(num, den) * (num + den) <= (F.col("n") + F.col("m")) * (den - num)
+
+
+def _other(maps: DataFrame) -> list:
+    """The columns of parity maps, as those of the other end."""
+    return [F.col(p).alias(f"other_{p}") for p in maps.columns if p != "id"]
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -506,12 +529,12 @@ def _host_pairs(
         .select("b", "pivot.*")
         .distinct()
     )
-    other = maps.select(F.col("id").alias("a"), *[F.col(p).alias(f"other_{p}") for p in PARITY])
+    other = maps.select(F.col("id").alias("a"), *_other(maps))
     near = _new_pairs(pairs, done).join(maps.withColumnRenamed("id", "b"), "b").join(other, "a")
     return (
         near.where(_not_apart(num, den))
         .groupBy("b")
-        .agg(F.min_by("a", _apart()).alias("a"))
+        .agg(F.min_by("a", _apart(num, den)).alias("a"))
         .select("a", "b")
     )
 
@@ -528,10 +551,10 @@ def _merged_pairs(
     """Pairs in different components that occur together in at least k short lists.
 
     Members outside the list's largest component are the queries against the list, so the
-    rows grow with those stragglers, not with the square of a group of copies.
+    rows grow with those stragglers, not with the square of a group of copies. Only members
+    of lists that still have several components get their parity map.
     """
-    member = _in_components(lists, found).join(maps, "id")
-    member = stored(member, "ngram-members")
+    member = stored(_in_components(lists, found), "ngram-members")
     hosts = (
         member.groupBy("token", "c")
         .agg(F.count("*").alias("rows"))
@@ -540,14 +563,16 @@ def _merged_pairs(
         .where("cs > 1")
         .select("token", "host")
     )
-    open_lists = member.join(hosts, "token")
+    hosts = stored(hosts, "ngram-hosts")
+    some = maybe_in(member, "token", membership_map(hosts, "token"))
+    open_lists = some.join(maps, "id").join(hosts, "token")
     query = open_lists.where("c != host").select(
         "token",
         F.col("id").alias("q"),
         F.col("n").alias("m"),
         F.col("pos").alias("place"),
         F.col("c").alias("qc"),
-        *[F.col(p).alias(f"other_{p}") for p in PARITY],
+        *_other(maps),
     )
     pairs = (
         query.join(open_lists, "token")
