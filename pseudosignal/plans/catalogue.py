@@ -328,6 +328,21 @@ def _file_stream(spark: SparkSession, parts: list[DataFrame], purpose: str) -> D
     return stream_of.parquet(folder)
 
 
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of an ingest stream that was stopped after a batch and started again."""
+    lines = checkpointed(sample.transaction_lines(_raw(spark, sf_dir)))
+    place = F.pmod("tx_id", F.lit(4))
+    source = _file_stream(spark, [lines.where(place == n) for n in range(4)], "counted-in")
+    out = shared_folder(spark, "counted")
+    places = (source, sample.sample_ring(spark), out, f"{out}/checkpoint")
+    first = stream.start_line_ingest(*places, trigger={"processingTime": "0 seconds"})
+    while first.isActive and not first.recentProgress:
+        first.awaitTermination(1)
+    first.stop()
+    stream.start_line_ingest(*places, trigger=NOW).awaitTermination()
+    return stream.read_counters(spark, out)
+
+
 def _with_day_text(table: DataFrame) -> DataFrame:
     return table.withColumn("bucket_date", F.col("bucket_date").cast("string"))
 
@@ -446,6 +461,7 @@ QUERIES: dict[str, Query] = {
     "stream_signals": stream_signals,
     "stream_rejects": stream_rejects,
     "stream_rollup": stream_rollup,
+    "stream_counters": stream_counters,
     "stream_windowed_rollup": stream_windowed_rollup,
     "stream_admission": stream_admission,
     "signal_table": signal_table,

@@ -500,6 +500,11 @@ ORACLE: dict[str, str] = {
         " WHERE reject_field IS NOT NULL"
     ),
     "stream_rollup": _lines(_rollup()),
+    "stream_counters": _lines(
+        "SELECT institution_id, count(*) AS transactions,"
+        " count(*) FILTER (reject_field IS NULL) AS signals_processed,"
+        " count(*) FILTER (reject_field IS NOT NULL) AS rejected FROM judged GROUP BY institution_id"
+    ),
     "stream_windowed_rollup": _derived(_rollup()),
     "stream_admission": _delivery(
         "SELECT signal_id, institution_id, admitted,"
