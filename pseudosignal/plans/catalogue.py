@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pseudosignal.functions import amount_tier, location_zone, time_bucket
 from pseudosignal.functions.instants import utc_text
@@ -24,6 +26,7 @@ from pseudosignal.sources import (
     shared_folder,
     write_signals,
 )
+from pseudosignal.sources.files import files_of, size_of
 from pseudosignal.sources.sinks import checkpointed
 from pseudosignal.streaming import admission as admitting
 from pseudosignal.streaming import ingest as stream
@@ -34,6 +37,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEY = ("tx_id",)
 MAX_DEPTH = 500
 NOW = {"availableNow": True}
+# Bytes below which the rows of a micro-batch are not dealt over several files.
+LEAST_FILE = 1 << 20
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,20 +324,35 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.read_rollup(spark, _run_stream(spark, sf_dir))
 
 
-def _file_stream(spark: SparkSession, parts: list[DataFrame], purpose: str) -> DataFrame:
-    """The parts as a stream of files, one a batch, in this order."""
-    folder = shared_folder(spark, purpose)
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream_of = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1)
+def _file_stream(
+    spark: SparkSession, rows: DataFrame, batch: Column, order: Sequence[int], purpose: str
+) -> DataFrame:
+    """The rows as a stream of files, those of one value of ``batch`` after the other, in ``order``.
+
+    Every value is as many files as any other, and these are one micro-batch. There are as many
+    as tasks read its rows, but none for less than a MiB, so large values are written and read by
+    all cores. A value with fewer files is filled up with empty ones.
+    """
+    staged, folder = shared_folder(spark, f"{purpose}-rows"), shared_folder(spark, purpose)
+    rows.withColumn("batch", batch.cast("int")).write.partitionBy("batch").parquet(staged)
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+    table = spark.read.schema(schema).parquet(staged)
+    parts = [table.where(F.col("batch") == n).drop("batch") for n in order]
+    largest = max(size_of(spark, f"{staged}/batch={n}") for n in order)
+    tasks = max(part.rdd.getNumPartitions() for part in parts)
+    files = max(1, min(tasks, math.ceil(largest / LEAST_FILE)))
+    for number, part in enumerate(parts, 1):
+        part.coalesce(files).write.mode("append").parquet(folder)
+        for _ in range(number * files - len(files_of(spark, folder, ".parquet"))):
+            spark.createDataFrame([], part.schema).write.mode("append").parquet(folder)
+    stream_of = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files)
     return stream_of.parquet(folder)
 
 
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of an ingest stream that was stopped after a batch and started again."""
-    lines = checkpointed(sample.transaction_lines(_raw(spark, sf_dir)))
-    place = F.pmod("tx_id", F.lit(4))
-    source = _file_stream(spark, [lines.where(place == n) for n in range(4)], "counted-in")
+    lines = sample.transaction_lines(_raw(spark, sf_dir))
+    source = _file_stream(spark, lines, F.pmod("tx_id", F.lit(4)), range(4), "counted-in")
     out = shared_folder(spark, "counted")
     places = (source, sample.sample_ring(spark), out, f"{out}/checkpoint")
     first = stream.start_line_ingest(*places, trigger={"processingTime": "0 seconds"})
@@ -362,10 +382,9 @@ def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The durable sink, stopped after its first batches and started again."""
-    signals = checkpointed(_signals(spark, sf_dir)).drop("tx_id")
+    signals = _signals(spark, sf_dir).drop("tx_id")
     place = F.pmod(F.xxhash64("identity_mosaic", "timestamp"), F.lit(4))
-    parts = [signals.where(place == n) for n in range(4)]
-    source = _file_stream(spark, parts, "sink-in")
+    source = _file_stream(spark, signals, place, range(4), "sink-in")
     path = shared_folder(spark, "sink")
     places = (source, path, f"{path}-checkpoint")
     first = stream.start_signal_sink(*places, {"processingTime": "0 seconds"}, "year")
@@ -378,9 +397,9 @@ def signal_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_windowed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a stream out of order, and what came too late for them, added up."""
-    signals = checkpointed(_signals(spark, sf_dir)).drop("tx_id")
+    signals = _signals(spark, sf_dir).drop("tx_id")
     place = F.pmod(F.xxhash64("identity_mosaic", "timestamp"), F.lit(4))
-    source = _file_stream(spark, [signals.where(place == n) for n in range(4)], "windows-in")
+    source = _file_stream(spark, signals, place, range(4), "windows-in")
     out = shared_folder(spark, "windows")
     windows.start_windowed_rollup(
         source, out, f"{out}-checkpoint", delay=timedelta(days=365), trigger=NOW
@@ -405,11 +424,10 @@ def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = state.where("attempts = 0").select(
         "signal_id", "institution_id", "seq", "enqueued_at"
     )
-    second = F.pmod(F.unix_seconds("enqueued_at"), F.lit(3000))
-    parts = [arrivals.where((second >= n * 1000) & (second < n * 1000 + 1000)) for n in (2, 0, 1)]
+    third = F.expr("pmod(unix_seconds(enqueued_at), 3000) div 1000")
     out = shared_folder(spark, "admission")
     admitting.start_admission(
-        _file_stream(spark, parts, "arrivals"),
+        _file_stream(spark, arrivals, third, (2, 0, 1), "arrivals"),
         out,
         f"{out}-checkpoint",
         metrics.backlog_depth(state.where("attempts > 0")),

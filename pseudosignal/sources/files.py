@@ -30,3 +30,18 @@ def subfolders(spark: SparkSession, path: str) -> dict[str, float]:
         for found in store.listStatus(place)
         if found.isDirectory()
     }
+
+
+def files_of(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """Names of the files in a folder that end in ``suffix``; none if it does not exist."""
+    place, store = _place(spark, path)
+    if not store.exists(place):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(place) if f.isFile()]
+    return [name for name in names if name.endswith(suffix)]
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder; 0 if it does not exist."""
+    place, store = _place(spark, path)
+    return store.getContentSummary(place).getLength() if store.exists(place) else 0

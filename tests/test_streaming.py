@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pseudosignal.operators import metrics
 from pseudosignal.operators import signals as ps
 from pseudosignal.operators import validate as va
+from pseudosignal.plans import catalogue
 from pseudosignal.plans import sample_tables as sample
 from pseudosignal.schema import SIGNAL_FIELDS
 from pseudosignal.sources import conform, decode_transactions, read_lines
@@ -141,3 +143,32 @@ def test_late_rows_are_counted(spark, transactions, ring, tmp_path):
 def test_validation_works_on_streams(spark, lines):
     decoded = decode_transactions(read_lines(spark, lines, stream=True))
     assert va.validate_transactions(decoded).isStreaming
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_file_stream_deals_each_batch_over_files_and_keeps_their_order(
+    spark, tmp_path, monkeypatch, wide
+):
+    if wide:
+        monkeypatch.setattr(catalogue, "LEAST_FILE", 1 << 10)
+    table = spark.range(8000).repartition(6).selectExpr(
+        "id", "repeat(sha2(string(id), 256), 3) as text", "int(id % 4) as place"
+    )
+    # Nothing has place 5, few rows have place 3, and rows without a place are left out.
+    rare = table.where("place != 3 or id < 8").withColumn(
+        "place", F.expr("if(id % 100 = 0, null, place)")
+    )
+    source = catalogue._file_stream(spark, rare, F.col("place"), (2, 5, 0, 3, 1), "dealt")
+    seen = []
+
+    def note(batch, number):
+        tasks = batch.select(F.spark_partition_id()).distinct().count()
+        places = batch.groupBy("place").count().collect()
+        seen.append((sorted((r["place"], r["count"]) for r in places), tasks))
+
+    query = source.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path))
+    query.trigger(availableNow=True).start().awaitTermination()
+    counts = {r["place"]: r["count"] for r in rare.groupBy("place").count().collect()}
+    expected = [[(n, counts[n])] if n in counts else [] for n in (2, 5, 0, 3, 1)]
+    assert [places for places, _ in seen] == expected
+    assert (seen[0][1] > 1) == wide
