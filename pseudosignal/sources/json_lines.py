@@ -95,7 +95,8 @@ def decode_transactions(
         lines.select(
             *others,
             too_long.alias("_too_long"),
-            F.make_valid_utf8(text.cast("string")).alias("_text"),
+            # Blanks around the document mean nothing, and there may be a MiB of them to search.
+            F.trim(F.make_valid_utf8(text.cast("string"))).alias("_text"),
         )
         .withColumn(
             "_doc",
