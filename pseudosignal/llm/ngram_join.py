@@ -42,10 +42,12 @@ from pyspark.sql import functions as F
 
 from pseudosignal.llm.common import (
     components,
+    discard,
     maybe_in,
     membership_map,
     small_batches,
     stored,
+    stored_at,
     table,
     without,
 )
@@ -348,7 +350,7 @@ def jaccard_components(
     cells = _sketch(profile)
 
     named = slim.where("doc_id is not null")
-    postings = stored(
+    postings, posted = stored_at(
         named.select("text").mapInArrow(
             lambda batches: _postings(batches, width, cells.value, num, den, k),
             "token bigint, h1 bigint, h2 bigint, n bigint, pos bigint",
@@ -362,7 +364,9 @@ def jaccard_components(
         "ngram-classes",
     )
     maps = classes.select("id", *parity)
-    lists = stored(_shared_lists(postings, classes.drop(*parity)), "ngram-lists")
+    lists, listed = stored_at(_shared_lists(postings, classes.drop(*parity)), "ngram-lists")
+    # Each form of the lists goes as soon as the next is stored, so one of them is on disk.
+    discard(spark, posted)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = stored(ids, "ngram-ends")
@@ -375,14 +379,20 @@ def jaccard_components(
     links = stored(_verified(pivots, texts, width, num, den), "ngram-links")
     found = components(links)
     for turn in range(NEW_PIVOTS):
-        lists = stored(_open_lists(lists, found, turn), "ngram-open")
+        member, before = stored_at(_in_components(lists, found), "ngram-members")
+        discard(spark, listed)
+        lists, listed = stored_at(_open_lists(member, turn), "ngram-open")
+        discard(spark, before)
         pairs = stored(_host_pairs(lists, maps, pivots, num, den), "ngram-pivots")
         texts = texts.union(texts_of(_ends(pairs).join(texts, "id", "left_anti")))
         new = stored(_verified(pairs, texts, width, num, den), "ngram-links")
         pivots, links = pivots.union(pairs), links.union(new)
         # Components of the components: no link found before travels again.
         found = _joined(found, new)
-    rest = stored(_merged_pairs(lists, found, maps, pivots, num, den, k), "ngram-pairs")
+    member, before = stored_at(_in_components(lists, found), "ngram-members")
+    discard(spark, listed)
+    rest = stored(_merged_pairs(member, maps, pivots, num, den, k), "ngram-pairs")
+    discard(spark, before)
     texts = texts.union(texts_of(_ends(rest).join(texts, "id", "left_anti")))
     more = _verified(rest, texts, width, num, den)
 
@@ -490,10 +500,9 @@ def _in_components(lists: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _open_lists(lists: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+def _open_lists(member: DataFrame, turn: int) -> DataFrame:
     """Lists with several components: their members with c, the largest component as host, and
     a pivot (a, m, place) out of it, another one in each turn."""
-    member = stored(_in_components(lists, found), "ngram-members")
     vote = F.xxhash64(F.pmod("token", F.lit(LANES)), "id", F.lit(turn))
     hosts = (
         member.groupBy("token", "c")
@@ -546,7 +555,7 @@ def _new_pairs(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _merged_pairs(
-    lists: DataFrame, found: DataFrame, maps: DataFrame, done: DataFrame, num: int, den: int, k: int
+    member: DataFrame, maps: DataFrame, done: DataFrame, num: int, den: int, k: int
 ) -> DataFrame:
     """Pairs in different components that occur together in at least k short lists.
 
@@ -554,7 +563,6 @@ def _merged_pairs(
     rows grow with those stragglers, not with the square of a group of copies. Only members
     of lists that still have several components get their parity map.
     """
-    member = stored(_in_components(lists, found), "ngram-members")
     hosts = (
         member.groupBy("token", "c")
         .agg(F.count("*").alias("rows"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from itertools import combinations
 
@@ -122,3 +123,19 @@ def test_components_of_a_star_and_a_path(spark):
     assert {tuple(r) for r in found_.collect()} == want
     none = components(spark.createDataFrame([], "a bigint, b bigint"))
     assert none.count() == 0
+
+
+def test_lists_are_deleted_once_the_next_form_is_stored(spark):
+    place = spark.conf.get("spark.checkpoint.dir")
+
+    def kept():
+        names = ("ngram-postings-", "ngram-lists-", "ngram-members-")
+        return {name for name in os.listdir(place) if name.startswith(names)}
+
+    before = kept()
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words, f"x{n}"]) for n in range(4)] + ["other words of their own"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = ngram_join.jaccard_components(docs, 3, 90)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    assert kept() == before
