@@ -177,6 +177,19 @@ def bounded_batches(spark: SparkSession):
             spark.conf.set(name, value)
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """Shuffle files of the jobs that run inside go when their job ends, not when the driver happens to
+    collect its garbage; the session's own setting comes back. For jobs that store what they make."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     """Like ``stored``, and the folder, for ``discard`` once nothing reads it any more."""
     spark = df.sparkSession

@@ -45,6 +45,7 @@ from pseudosignal.llm.common import (
     discard,
     maybe_in,
     membership_map,
+    short_lived_shuffles,
     small_batches,
     stored,
     stored_at,
@@ -332,10 +333,14 @@ def jaccard_components(
     doc_id takes no part; its component_id is NULL. Rows that repeat a doc_id count as one
     document with several texts. An empty table gives no rows.
     """
-    num, den = similarity_percent, 100
+    small_batches(docs.sparkSession)
+    with short_lived_shuffles(docs.sparkSession):
+        return _components_of(docs, width, similarity_percent, 100)
+
+
+def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     k = MERGED if num >= 2 * (den - num) else 1
     spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
 
     parity = _parity_names(num, den)
@@ -600,7 +605,11 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity_percent: int = 80) -
     the smallest text stays. Only rows that may have to go are shuffled.
     """
     found = jaccard_components(docs, width, similarity_percent).where("doc_id is not null")
-    found = stored(found, "ngram-found")
+    with short_lived_shuffles(docs.sparkSession):
+        return _one_of_each(docs, stored(found, "ngram-found"))
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = found.where("component_id != doc_id").select("doc_id").distinct()
     twice = (
         found.groupBy("doc_id")

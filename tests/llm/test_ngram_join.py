@@ -139,3 +139,19 @@ def test_lists_are_deleted_once_the_next_form_is_stored(spark):
     found = ngram_join.jaccard_components(docs, 3, 90)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
     assert kept() == before
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+
+    def kept():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+        files = manager.diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {os.path.basename(f) for f in files if os.path.basename(f).startswith("shuffle_")}
+
+    before = kept()
+    docs = spark.createDataFrame(near_copies(4), "doc_id bigint, text string")
+    ngram_join.one_of_each(docs)
+    assert kept() <= before
+    assert spark.conf.get(name) == setting
